@@ -23,7 +23,7 @@ from . import common
 
 BUCKETS = 16384
 TARGET_DOCS = 20_000
-THRESHOLD = -0.5
+THRESHOLD = -0.06
 SYMBOLS = "#*$%&|<>"
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import byte_bpe, fingerprint, language_id, mixing, quality, token_file
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op4_token_file": token_file.op4_token_file,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language_id": language_id.op7_language_id,
 }
 
 ORACLES = {
