@@ -88,15 +88,15 @@ def bins(words: list[str]) -> np.ndarray | None:
     first[1:] = which[1:] != which[:-1]
     full = np.zeros(BINS, bool)
     full[which[first]] = True
-    out = np.zeros(BINS, np.uint8)
-    out[which[first]] = (mixed(hashes[first]) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    least = np.zeros(BINS, np.uint64)
+    least[which[first]] = hashes[first]
     empty = np.flatnonzero(~full)
     tries = _borrow()
     for j in range(16):
         if not len(empty):
-            return out
+            break
         found = full[tries[j, empty]]
-        out[empty[found]] = out[tries[j, empty[found]]]
+        least[empty[found]] = least[tries[j, empty[found]]]
         empty = empty[~found]
     if len(empty):
         hit = full[tries[:, empty]]
@@ -105,8 +105,9 @@ def bins(words: list[str]) -> np.ndarray | None:
         lone = ~hit.any(0)  # no try met a full bin: take the next full one, around the end
         at = np.flatnonzero(full)
         source[lone] = at[np.searchsorted(at, empty[lone]) % len(at)]
-        out[empty] = out[source]
-    return out
+        least[empty] = least[source]
+    # bits of hash and bin together: bins that borrowed one hash agree by chance independently of each other
+    return (mixed(least + np.arange(BINS, dtype=np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(values: np.ndarray | None) -> str:

@@ -40,7 +40,7 @@ def subwords(text: str) -> np.ndarray | None:
     for n in range(2, max(GRAMS) + 1):
         code = code[:-1] * np.uint32(0x01000193) ^ raw[n - 1 :]
         if n in GRAMS:
-            out.append((code * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B)) >> np.uint32(17))
+            out.append((code * np.uint32(0x9E3779B1) + np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(17))
     return np.concatenate(out)
 
 
