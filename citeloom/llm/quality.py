@@ -16,7 +16,7 @@ the base rules alone decide; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -82,9 +82,10 @@ def ratios(docs: DataFrame, labels: DataFrame | None, target_docs: int = TARGET_
     marked = marked.join(F.broadcast(target_ids(labels, target_docs).withColumn("__t", F.lit(1))), F.col("doc_id") == F.col("__id"), "left")
     seen = marked.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(features()).alias("b"))
     counts = seen.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    totals = counts.agg(F.sum("raw").alias("raw_all"), F.sum("target").alias("target_all"))
+    whole = Window.partitionBy()  # over BUCKETS rows at most
+    counts = counts.withColumn("raw_all", F.sum("raw").over(whole)).withColumn("target_all", F.sum("target").over(whole))
     value = F.log((F.col("target") + 1) / (F.col("target_all") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("raw_all") + BUCKETS))
-    rows = counts.crossJoin(F.broadcast(totals)).filter("target_all > 0").select("b", value.alias("r")).collect()  # BUCKETS rows at most, one row beside them
+    rows = counts.filter("target_all > 0").select("b", value.alias("r")).collect()  # BUCKETS rows at most
     out = [0.0] * BUCKETS
     for b, r in rows:
         out[b] = r

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprint, language_id, mixing, quality, token_file
+from . import byte_bpe, fingerprint, language_id, mixing, near_dup, quality, spans, token_file
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_mixing": mixing.op6_mixing,
     "op7_language_id": language_id.op7_language_id,
+    "op8_sentence_spans": spans.op8_sentence_spans,
+    "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 
 ORACLES = {
