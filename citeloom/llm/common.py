@@ -21,6 +21,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -48,17 +50,32 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, there after an executor is lost."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    clean = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what is written is all that stays of the query
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, clean)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of written() that no later query reads."""
+    _delete(df.sparkSession, _paths.pop(id(df)))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            there = jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
 
 
 def total_bytes(docs: DataFrame) -> int:
