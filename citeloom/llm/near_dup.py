@@ -220,7 +220,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, tie (hash of the text), n_shingles, component_id, kept, n_links of each row; n_links: confirmed links of its set."""
+    """doc_id, tie (hash of the text), label (of its component; null without words), n_shingles, component_id, kept, n_links
+    (confirmed links of its set) of each row."""
     spark = docs.sparkSession
     threshold = percent / 100
     drawn = common.written(sketches(docs, size), "sketches")
@@ -249,13 +250,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         judged = common.written(judged.unionByName(confirmed(fresh.select("u", "v"), texts, size, percent)), "judged")
     named = classes.select("c", "least_d").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = common.written(named.groupBy("label").agg(F.min("least_d").alias("component_id")), "ids")
-    by_class = common.written(named.join(ids, "label").select("c", "component_id"), "by-class")
+    by_class = common.written(named.join(ids, "label").select("c", "label", "component_id"), "by-class")
     yes = judged.filter("ok")
     links = yes.select(F.col("u").alias("c")).unionByName(yes.select(F.col("v").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
     by_class = common.written(by_class.join(links, "c", "left"), "by-class")
     out = drawn.select("d", "tie", "n", "c").join(by_class, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("d")).otherwise(F.col("component_id"))
-    return out.select(F.col("d").alias("doc_id"), "tie", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("d").alias("doc_id"), "tie", "label", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("d") == component, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def kept_rows(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs of each component (the least doc_id, then hash of the text), and all rows without words."""
+    found = common.written(near_duplicates(docs, size, percent).select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t"), "label"), "near")
+    one = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("__d").isNull().alias("null"), "__d", "__t")).alias("k")).select("k.__d", "k.__t")
+    keys = one.unionByName(found.filter("label IS NULL").select("__d", "__t").distinct())
+    out = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t")), "left_semi")
+    twice = found.filter("label IS NOT NULL").groupBy("__d", "__t").agg(F.count("*").alias("n")).filter("n > 1")
+    return out.dropDuplicates(["doc_id", "text"]) if twice.take(1) else out  # only where doc_id and text repeat
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

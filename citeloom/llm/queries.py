@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import byte_bpe, fingerprint, language_id, mixing, near_dup, ppm, quality, spans, suffixes, token_file
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_sentence_spans": spans.op8_sentence_spans,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_near_duplicates": near_dup.op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
