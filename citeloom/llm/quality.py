@@ -99,7 +99,9 @@ def judged(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHO
     out = base(docs).withColumn("__features", features()).withColumn("__weights", weights)
     total = F.expr("aggregate(__features, 0D, (a, b) -> a + __weights[b])")
     out = out.withColumn("llr", F.when(F.size("__features") > 0, F.round(total / F.size("__features"), 9)).otherwise(0.0))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    # always true, but not deterministic to the optimizer: a later filter on kept stays above instead of repeating all of this
+    above = F.spark_partition_id() >= 0
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & above)
     return out.drop("__features", "__weights", "__words")
 
 
