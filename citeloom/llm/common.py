@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORDS = re.compile(WORD)
 BLANKS = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _written: list[tuple[SparkSession, str]] = []
 _paths: dict[int, str] = {}
@@ -104,6 +103,11 @@ def mapped(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], Iterable[
     return df.mapInArrow(run, schema)
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case, all else as it is."""
+    return text.encode().lower().decode()
+
+
 def words_of(text: str | Column) -> Column:
     """The words of a text as an array, JVM-side; null gives none."""
     flat = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), BLANKS, " " * len(BLANKS))

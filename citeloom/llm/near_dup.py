@@ -8,8 +8,8 @@ mutual near copies) are dealt out in chunks, and a few common members, the same
 Small nodes are compared exhaustively on the minwise tokens and sizes; what they give are candidates only.
 
 Every link is confirmed on the full sets of both texts. In the first round each class has its best candidate confirmed,
-in later rounds what still would join different components (a spanning forest of each node, without pairs that failed);
-rounds end when a node has no such candidate. Pairs inside a component are not needed and never made.
+in the second a spanning forest of each node over the components so far, in the third every candidate pair that still
+lies in different components and hasn't failed. Other pairs inside a component are not needed and never made.
 Components come from alternating large-star and small-star steps over written tables; nothing of this reaches the driver but counts.
 
 A pair at the threshold shares a leaf in one tree with chance about 0.8 (a little less for each further level), in none
@@ -23,6 +23,7 @@ that have the component's id are kept; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +36,27 @@ from . import common, fingerprint
 
 COORDS, TREES, FORK, LEAF, SHRINK, LEVELS = 256, 8, 2, 600, 0.6, 12
 LEADERS, MARGIN = 48, 0.08
-PERMUTE = np.array([xxhash.xxh64_intdigest(b"coordinate", i) | 1 for i in range(COORDS)], np.uint64)
+PERMUTE = np.array([xxhash.xxh32_intdigest(b"coordinate", i) | 1 for i in range(COORDS)], np.uint32)
+
+
+@functools.cache
+def _factors(size: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(b"near", i) | 1 for i in range(size)], np.uint64)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
-    words = common.WORDS.findall((text or "").translate(common.LOWER))
-    factors = np.array([xxhash.xxh64_intdigest(b"near", i) | 1 for i in range(size)], np.uint64)
-    return np.unique(fingerprint.shingle_hashes(words, size, factors))
+    words = common.WORDS.findall(common.lowered(text or ""))
+    return np.unique(fingerprint.shingle_hashes(words, size, _factors(size)))
 
 
 def minwise(hashes: np.ndarray) -> bytes:
     """COORDS minwise tokens of 16 bits."""
-    least = np.full(COORDS, ~np.uint64(0))
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * PERMUTE).min(0), out=least)
-    return (fingerprint.mixed(least) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    least = np.full(COORDS, ~np.uint32(0))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        np.minimum(least, (short[at : at + 512, None] * PERMUTE).min(0), out=least)
+    return (fingerprint.mixed(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -103,10 +109,11 @@ def leaves(classes: DataFrame) -> DataFrame:
     return out
 
 
-def candidates(placed: DataFrame, classes: DataFrame, threshold: float, forest: bool, partitions: int) -> DataFrame:
+def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: str, partitions: int) -> DataFrame:
     """u, v, near: candidate pairs of different labels from the leaves; placed: leaf, c; classes: c, n, sig, label, failed.
 
-    Of each leaf: a best candidate for each class, or (forest) the pairs of a spanning forest, best first.
+    Of each leaf, by `which`: "best", one candidate for each class; "forest", the pairs of a spanning forest, best first;
+    "all" that are left. A leaf is bounded, and so are its pairs.
     """
 
     def pairs(n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +149,10 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, forest:
             a, b = int(i[k]), int(j[k])
             if names[b] in failed[a]:
                 continue
-            if forest:
+            if which == "all":
+                if labels[a] != labels[b]:
+                    yield names[a], names[b], float(near[k])
+            elif which == "forest":
                 x, y = find(labels[a]), find(labels[b])
                 if x != y:
                     root[x] = y
@@ -230,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = common.written(leaves(classes), "leaves")
     parts = common.pieces(placed.count(), 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = classes.select("c", "n", "sig", F.col("c").alias("label"), F.lit(None).cast("array<binary>").alias("failed"))
-    pairs = common.written(candidates(placed, plain, threshold, False, parts), "pairs")
+    pairs = common.written(candidates(placed, plain, threshold, "best", parts), "pairs")
     ends = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
     named = classes.select("c", F.col("rep.d").alias("rd"), F.col("rep.tie").alias("rt")).join(ends, "c")
     source = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
@@ -238,16 +248,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = common.written(texts, "texts")
     placed = common.written(placed.join(ends, "c"), "leaves")  # no other class has a candidate
     judged = common.written(confirmed(best_of_each(pairs), texts, size, percent), "judged")
-    while True:  # each turn confirms or rules out at least one more pair of each node that has one
+    for which in ("forest", "all"):
         labels = common.written(components(judged.filter("ok")), "labels")
         no = judged.filter("NOT ok")
         no = no.select(F.col("u").alias("c"), F.col("v").alias("f")).unionByName(no.select(F.col("v").alias("c"), F.col("u").alias("f")))
         state = classes.join(ends, "c").select("c", "n", "sig").join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
         state = state.withColumn("label", F.coalesce("label", "c"))
-        fresh = common.written(candidates(placed, state, threshold, True, parts), "pairs")
+        fresh = common.written(candidates(placed, state, threshold, which, parts), "pairs")
         if not fresh.take(1):
             break
         judged = common.written(judged.unionByName(confirmed(fresh.select("u", "v"), texts, size, percent)), "judged")
+    labels = common.written(components(judged.filter("ok")), "labels")
     named = classes.select("c", "least_d").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = common.written(named.groupBy("label").agg(F.min("least_d").alias("component_id")), "ids")
     by_class = common.written(named.join(ids, "label").select("c", "label", "component_id"), "by-class")

@@ -100,7 +100,7 @@ def words_by_bucket(words) -> list[list[str]]:
 
 def tokens_of(text: str) -> list[str]:
     """Words in lower case, then the end token (empty, which no word is)."""
-    return [*common.WORDS.findall(text.translate(common.LOWER)), ""]
+    return [*common.WORDS.findall(common.lowered(text)), ""]
 
 
 REQUESTS = "block long, bucket int, codes binary, counts binary, words binary, word_counts binary, doc_ids array<long>, held array<boolean>, lengths array<long>, payload binary"
@@ -318,10 +318,11 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
         for b, known in zip(answers["bucket"], answers["known"]):
             counts.update(zip(by_bucket[b], expand(known, "<u8").tolist()))
         logs = {w: math.log10(c + 1) for w, c in counts.items()}
+        each = [np.fromiter(map(logs.__getitem__, t), np.float64, len(t)) for t in tokens]
         return pd.DataFrame({
             "doc_id": pd.array(list(row["doc_ids"]), "Int64"), "held_out": list(row["held"]),
-            "n_tokens": [len(t) for t in tokens], "n_known": [sum(counts[w] > 0 for w in t) for t in tokens], "train_tokens": train,
-            "base_score": [math.fsum(map(logs.__getitem__, t)) - len(t) * scale for t in tokens], "score": scores,
+            "n_tokens": [len(t) for t in tokens], "n_known": [np.count_nonzero(x) for x in each], "train_tokens": train,
+            "base_score": [x.sum() - len(x) * scale for x in each], "score": scores,
         })
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, SCORES)

@@ -9,7 +9,7 @@ one with the least hash is an anchor, so equal windows have equal anchors at equ
 drop out, with all windows that have them. Pass 2 compares the whole stretch of windows that an anchor stands for: where
 it occurs again as a whole, all of its windows are repeated. Pass 3 compares, for anchors that occur with different
 stretches, window by window through the threshold depth; of equal stretches one stands for all. Digits are compared by
-hashes of 64 (piece) and 128 bits (stretch, window).
+hashes: 64 bits of the piece, and 64 more of the stretch or window.
 
 Groups are counted before the shuffle and joined back as one row against many, so a piece in a third of all documents
 makes no large task. Tables between passes are written to the shared folder.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .fingerprint import mixed
 
-THRESHOLD, PIECE = 200, 60
+THRESHOLD, PIECE = 200, 100
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 CODES = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(b)) for b in BASES]
 
@@ -110,17 +110,17 @@ def anchor_rows(keyed: DataFrame, threshold: int, piece: int) -> DataFrame:
 
 
 def window_rows(texts: DataFrame, threshold: int) -> DataFrame:
-    """h1, h2, d, tie, s, alone of the windows in the given stretches; texts: d, tie, text, stretches."""
+    """g (their anchor's piece), h, d, tie, s, alone of the windows in the given stretches; texts: d, tie, text, stretches."""
 
     def rows(cols):
         for d, tie, text, stretches in zip(cols["d"], cols["tie"], cols["text"], cols["stretches"]):
             rolling = Rolling(_bytes(text))
             for part in stretches:
                 s = np.arange(part["lo"], part["hi"] + 1)
-                for a, b, at in zip(_signed(rolling.hashes(0, s, s + threshold)), _signed(rolling.hashes(1, s, s + threshold)), s.tolist()):
-                    yield a, b, d, tie, at, part["alone"]
+                for h, at in zip(_signed(rolling.hashes(1, s, s + threshold)), s.tolist()):
+                    yield part["g"], h, d, tie, at, part["alone"]
 
-    return common.mapped(texts, "h1 long, h2 long, d long, tie long, s int, alone boolean", rows, 16)
+    return common.mapped(texts, "g long, h long, d long, tie long, s int, alone boolean", rows, 16)
 
 
 def repeated(docs: DataFrame, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
@@ -136,13 +136,16 @@ def repeated(docs: DataFrame, threshold: int = THRESHOLD, piece: int = PIECE) ->
     whole = left.join(kinds.filter("times > 1").select("kg", "kx"), (F.col("g") == F.col("kg")) & (F.col("x") == F.col("kx")))
     whole = whole.select("d", "tie", F.col("lo").alias("s"), (F.col("hi") + threshold).alias("e"))
     several = common.written(kinds.groupBy("kg").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("kg").alias("several")), "pieces-several")
-    open_ = kinds.join(several, F.col("kg") == F.col("several")).select("one.*", (F.col("times") == 1).alias("alone"))
-    open_ = common.written(open_.groupBy("d", "tie").agg(F.collect_set(F.struct("lo", "hi", "alone")).alias("stretches")), "open").withColumnsRenamed({"d": "od", "tie": "ot"})
+    open_ = kinds.join(several, F.col("kg") == F.col("several")).select("one.*", F.col("kg").alias("g"), (F.col("times") == 1).alias("alone"))
+    open_ = common.written(open_.groupBy("d", "tie").agg(F.collect_set(F.struct("g", "lo", "hi", "alone")).alias("stretches")), "open").withColumnsRenamed({"d": "od", "tie": "ot"})
     texts = keyed.join(open_, F.col("d").eqNullSafe(F.col("od")) & (F.col("tie") == F.col("ot"))).select("d", "tie", "text", "stretches").dropDuplicates(["d", "tie"])
     windows = common.written(window_rows(texts, threshold), "windows")
-    same = common.written(windows.groupBy("h1", "h2").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2")), "windows-again")
-    single = windows.filter("alone").join(same, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).select("d", "tie", "s", (F.col("s") + threshold).alias("e"))
-    return whole.unionByName(single).groupBy("d", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    same = common.written(windows.groupBy("g", "h").agg(F.count("*").alias("times")).filter("times > 1").select(F.col("g").alias("k1"), F.col("h").alias("k2")), "windows-again")
+    single = windows.filter("alone").join(same, (F.col("g") == F.col("k1")) & (F.col("h") == F.col("k2"))).select("d", "tie", "s", (F.col("s") + threshold).alias("e"))
+    out = common.written(whole.unionByName(single).groupBy("d", "tie").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "suffix-spans")
+    for used in (left, kinds, windows, same):
+        common.dropped(used)
+    return out
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,7 +161,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame, threshold: int = THRESHOLD, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end of the maximal removed runs), kept (bytes) of each row."""
-    gone = common.written(repeated(docs, threshold, piece), "suffix-spans").withColumnsRenamed({"d": "gd", "tie": "gt"})
+    gone = repeated(docs, threshold, piece).withColumnsRenamed({"d": "gd", "tie": "gt"})
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
     both = keyed.join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("tie") == F.col("gt")), "left").select("d", "text", "spans")
 
