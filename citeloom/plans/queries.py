@@ -1,4 +1,386 @@
-"""The registered queries of the engine's own operators, each with the SQL that must give the same rows."""
+"""The registered queries of the engine's own operators, each with the SQL that must give the same rows.
+
+The tables hold plain prose, so pointers, formulas, headings and numbers are put in by expressions that are the same on
+both sides: sentence k of document d gets ` citK` where (d + k) % 3 = 0, and ` w = -K.5` where k % 11 = 0.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from citeloom.functions import fixed
+from citeloom.functions import text as T
+from citeloom.functions.similarity import cosine, may_reach, token_sort
+from citeloom.operators import alignment, citations, classification, evaluation, graph, manifest
+from citeloom.sources import listing
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+
+
+def pointed(spark, sf_dir: str) -> DataFrame:
+    """Sentences with pointers and formulas put in."""
+    out = citations.sentences(documents(spark, sf_dir))
+    k = F.col("sent_no").cast("string")
+    cit = F.when((F.col("doc_id") + F.col("sent_no")) % 3 == 0, F.concat(F.lit(" cit"), k)).otherwise("")
+    formula = F.when(F.col("sent_no") % 11 == 0, F.concat(F.lit(" w = -"), k, F.lit(".5"))).otherwise("")
+    return out.withColumn("sentence", F.concat("sentence", formula, cit))
+
+
+_PROTECTED = "text"
+for _ in range(2):
+    _PROTECTED = rf"regexp_replace({_PROTECTED}, '(^|[ (\n])({T._abbreviations()}) ', '\1\2' || chr(2), 'g')"
+_SENTS = rf"""
+l AS (SELECT doc_id, lang, source, string_split(translate(regexp_replace({_PROTECTED}, '([.!?]) ', '\1' || chr(1), 'g'), chr(10) || chr(2), chr(1) || ' '), chr(1)) AS l FROM documents),
+u AS (SELECT doc_id, lang, source, unnest(l) AS sentence, (generate_subscripts(l, 1) - 1)::BIGINT AS sent_no FROM l),
+sents AS (SELECT * FROM u WHERE trim(sentence) <> '')"""
+_POINTED = _SENTS + r""",
+pointed AS (SELECT doc_id, lang, source, sent_no, sentence || CASE WHEN sent_no % 11 = 0 THEN ' w = -' || sent_no || '.5' ELSE '' END
+  || CASE WHEN (doc_id + sent_no) % 3 = 0 THEN ' cit' || sent_no ELSE '' END AS sentence FROM sents)"""
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('( ' || replace(text, '.', ' .') || ' )', '\s+', ' ', 'g'), '\s+([,;.])', '\1', 'g'), '\(\s*(.*?)\s*\)', '(\1)', 'g') AS cleaned FROM documents""")
+def text_cleanup(spark, sf_dir):
+    spaced = F.concat(F.lit("( "), F.replace("text", F.lit("."), F.lit(" .")), F.lit(" )"))
+    return documents(spark, sf_dir).select("doc_id", T.cleaned(spaced).alias("cleaned"))
+
+
+@query("SELECT doc_id, unnest(l) AS block, (generate_subscripts(l, 1) - 1)::BIGINT AS block_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def block_split(spark, sf_dir):
+    return citations.blocks(documents(spark, sf_dir))
+
+
+@query(f"WITH {_SENTS} SELECT doc_id, sent_no, sentence FROM sents")
+def sentence_segmentation(spark, sf_dir):
+    return citations.sentences(documents(spark, sf_dir)).select("doc_id", "sent_no", "sentence")
+
+
+@query(f"WITH {_SENTS} SELECT lang, count(*)::BIGINT AS sentences, round(avg(length(sentence)), 6) AS mean_chars, max(length(sentence))::BIGINT AS most_chars FROM sents GROUP BY lang")
+def sentence_stats(spark, sf_dir):
+    return citations.sentences(documents(spark, sf_dir)).groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.length("sentence")), 6).alias("mean_chars"), F.max(F.length("sentence")).cast("long").alias("most_chars"))
+
+
+@query(rf"""WITH {_POINTED} SELECT doc_id, sent_no, replace(sentence, ' w = -' || sent_no || '.5', ' FORMULA0') AS protected, sentence AS restored,
+ len(regexp_extract_all(sentence, '{fixed.FORMULA}'))::BIGINT AS formulas FROM pointed WHERE sent_no % 11 = 0 AND len(regexp_extract_all(sentence, '{fixed.FORMULA}')) = 1""")
+def formula_protection(spark, sf_dir):
+    out = pointed(spark, sf_dir).filter("sent_no % 11 = 0").withColumn("found", T.formulas(F.col("sentence"))).filter(F.size("found") == 1)
+    out = out.withColumn("protected", T.formulas_protected(F.col("sentence")))
+    return out.select("doc_id", "sent_no", "protected", T.formulas_restored(F.col("protected"), F.col("found")).alias("restored"), F.size("found").cast("long").alias("formulas"))
+
+
+@query(rf"""WITH {_POINTED}, p AS (SELECT doc_id, sent_no, unnest(regexp_extract_all(sentence, 'cit\d+')) AS citkey FROM pointed)
+SELECT p.doc_id, p.sent_no, p.citkey, 'R' || (p.doc_id % 7) AS ref_text FROM p JOIN pointed r ON p.doc_id = r.doc_id AND p.citkey = 'cit' || r.sent_no AND (r.doc_id + r.sent_no) % 3 = 0""")
+def pointer_contexts(spark, sf_dir):
+    sents = pointed(spark, sf_dir)
+    refs = sents.filter((F.col("doc_id") + F.col("sent_no")) % 3 == 0).select("doc_id", F.concat(F.lit("cit"), F.col("sent_no").cast("string")).alias("citkey"), F.concat(F.lit("R"), (F.col("doc_id") % 7).cast("string")).alias("ref_text"))
+    return citations.contexts(sents, refs).select("doc_id", "sent_no", "citkey", "ref_text")
+
+
+@query(rf"WITH {_POINTED} SELECT doc_id, sent_no, regexp_replace(sentence, '\bcit(\d+)\b', '[\1]', 'g') AS shown FROM pointed WHERE (doc_id + sent_no) % 3 = 0")
+def pointer_substitution(spark, sf_dir):
+    return pointed(spark, sf_dir).filter((F.col("doc_id") + F.col("sent_no")) % 3 == 0).select("doc_id", "sent_no", T.pointers_replaced(F.col("sentence")).alias("shown"))
+
+
+@query(rf"""WITH {_SENTS}, p AS (SELECT doc_id, sent_no, CASE WHEN (doc_id + sent_no) % 3 = 0 THEN 'cit' || sent_no || ' ' ELSE '' END || sentence AS s FROM sents),
+m AS (SELECT *, regexp_extract(s, '^((?:cit\d+\s*)+)', 1) AS run, coalesce(ends_with(lag(s) OVER w, '.'), false) AND regexp_extract(s, '^((?:cit\d+\s*)+)', 1) <> '' AS move FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY sent_no))
+SELECT doc_id, sent_no, concat_ws(' ', CASE WHEN move THEN regexp_replace(s, '^(?:cit\d+\s*)+', '') ELSE s END, CASE WHEN lead(move) OVER w THEN lead(trim(run)) OVER w END) AS sentence FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY sent_no)""")
+def leading_pointer_merge(spark, sf_dir):
+    sents = citations.sentences(documents(spark, sf_dir))
+    lead = F.when((F.col("doc_id") + F.col("sent_no")) % 3 == 0, F.concat(F.lit("cit"), F.col("sent_no").cast("string"), F.lit(" "))).otherwise("")
+    return citations.leading_pointers_moved(sents.withColumn("sentence", F.concat(lead, "sentence"))).select("doc_id", "sent_no", "sentence")
+
+
+@query(rf"""WITH {_SENTS}, r AS (SELECT doc_id, CASE WHEN (doc_id + sent_no) % 2 = 0 OR doc_id % 5 = 0 THEN '7' ELSE 'Smith' END AS t, coalesce(ends_with(lag(sentence) OVER (PARTITION BY doc_id ORDER BY sent_no), '.'), false) AS stop FROM sents)
+SELECT doc_id, count(*) FILTER (t = '7') > count(*) / 2.0 AND count(*) FILTER (stop) > count(*) / 5.0 AS superscript FROM r GROUP BY doc_id""")
+def superscript_detection(spark, sf_dir):
+    from pyspark.sql import Window
+
+    sents = citations.sentences(documents(spark, sf_dir))
+    number = F.when(((F.col("doc_id") + F.col("sent_no")) % 2 == 0) | (F.col("doc_id") % 5 == 0), "7").otherwise("Smith")
+    stop = F.coalesce(F.lag("sentence").over(Window.partitionBy("doc_id").orderBy("sent_no")).endswith("."), F.lit(False))
+    return citations.superscript_documents(sents.select("doc_id", number.alias("ref_text"), stop.alias("after_stop")))
+
+
+def _units(spark, sf_dir) -> DataFrame:
+    out = citations.blocks(documents(spark, sf_dir))
+    return out.select("doc_id", F.col("block_no").alias("unit_no"), F.when(F.col("block_no") % 4 != 3, F.substring("block", 1, 12)).alias("head"), F.when(F.col("block_no") % 2 == 0, F.concat(F.col("block_no").cast("string"), F.when(F.col("block_no") % 3 == 0, ".1").otherwise("."))).alias("n"))
+
+
+_UNITS = """b AS (SELECT doc_id, unnest(l) AS block, (generate_subscripts(l, 1) - 1)::BIGINT AS unit_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+units AS (SELECT doc_id, unit_no, CASE WHEN unit_no % 4 <> 3 THEN substr(block, 1, 12) END AS head, CASE WHEN unit_no % 2 = 0 THEN unit_no || CASE WHEN unit_no % 3 = 0 THEN '.1' ELSE '.' END END AS n FROM b)"""
+
+
+@query(f"""WITH {_UNITS} SELECT doc_id, unit_no, last_value(CASE WHEN head IS NULL THEN 'Section Untitled ' || untitled WHEN unit_no % 2 = 0 THEN head END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section
+FROM (SELECT *, sum(CASE WHEN head IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY unit_no)::BIGINT AS untitled FROM units)""")
+def section_forward_fill(spark, sf_dir):
+    units = _units(spark, sf_dir).withColumn("has_head", F.col("head").isNotNull()).withColumn("title", F.when(F.col("unit_no") % 2 == 0, F.col("head")))
+    return citations.forward_filled(units).select("doc_id", "unit_no", "section")
+
+
+@query(rf"""WITH {_UNITS}, h AS (SELECT *, n IS NOT NULL AS has_n, regexp_matches(head, '^[IVXLC]+[.)]\s') AS roman FROM units WHERE head IS NOT NULL),
+c AS (SELECT *, sum(has_n::INT) OVER d >= count(*) OVER d / 2.0 AS by_n, sum(roman::INT) OVER d >= count(*) OVER d / 2.0 AS by_roman, coalesce(lag(has_n) OVER w, false) AND coalesce(lead(has_n) OVER w, false) AS between_n FROM h WINDOW d AS (PARTITION BY doc_id), w AS (PARTITION BY doc_id ORDER BY unit_no)),
+s AS (SELECT *, CASE WHEN by_n THEN CASE WHEN has_n THEN regexp_matches(n, '^\d+\.?$') ELSE NOT between_n END WHEN by_roman THEN roman ELSE true END AS selected FROM c)
+SELECT doc_id, unit_no, selected, CASE WHEN selected THEN trim(regexp_replace(trim(trim(regexp_replace(trim(head), '^(?:\d+(?:\.\d+)*\.?|[IVXLC]+[.)])\s+', ''))), '^[^a-zA-Z0-9]+', '')) END AS title FROM s""")
+def heading_selection(spark, sf_dir):
+    return citations.headings_selected(_units(spark, sf_dir).filter("head IS NOT NULL")).select("doc_id", "unit_no", "selected", "title")
+
+
+@query(r"SELECT page_id, trim(regexp_replace(trim('* - ' || regexp_extract(html, '<title>([^<]*)</title>', 1)), '^[^a-zA-Z0-9]+', '')) AS title FROM pages")
+def title_clean(spark, sf_dir):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", T.title_cleaned(F.concat(F.lit("* - "), title)).alias("title"))
+
+
+_CONTEXTS = rf"""{_POINTED}, f AS (SELECT *, last_value(CASE WHEN sent_no % 5 = 0 THEN substr(sentence, 1, 10) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sent_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM pointed),
+x AS (SELECT doc_id, sent_no, section, sentence, unnest(regexp_extract_all(sentence, 'cit\d+')) AS citkey FROM f),
+j AS (SELECT x.* FROM x JOIN pointed r ON x.doc_id = r.doc_id AND x.citkey = 'cit' || r.sent_no AND (r.doc_id + r.sent_no) % 3 = 0),
+g AS (SELECT doc_id, citkey, arg_max(section, sent_no) AS "SECTION", regexp_replace(arg_max(sentence, sent_no), '\bcit(\d+)\b', '[\1]', 'g') AS "CITATION", min(sent_no) AS first_seq FROM j GROUP BY doc_id, citkey)"""
+
+
+def _contexts(spark, sf_dir) -> DataFrame:
+    sents = pointed(spark, sf_dir)
+    units = sents.withColumn("unit_no", F.col("sent_no")).withColumn("has_head", F.lit(True)).withColumn("title", F.when(F.col("sent_no") % 5 == 0, F.substring("sentence", 1, 10)))
+    filled = citations.forward_filled(units)
+    refs = sents.filter((F.col("doc_id") + F.col("sent_no")) % 3 == 0).select("doc_id", F.concat(F.lit("cit"), F.col("sent_no").cast("string")).alias("citkey"))
+    hits = citations.contexts(filled.select("doc_id", "sent_no", "section", "sentence"), refs)
+    rows = hits.withColumn("v", F.struct("section", T.pointers_replaced(F.col("sentence")).alias("citation")))
+    one = citations.last_value_first_place(rows, ["doc_id", "citkey"], "sent_no", "v")
+    return citations.renumbered(one, ["first_seq", "citkey"]).select("doc_id", "cit_no", "cit_id", F.col("v.section").alias("SECTION"), F.col("v.citation").alias("CITATION"))
+
+
+@query(f"""WITH {_CONTEXTS} SELECT doc_id, row_number() OVER w AS cit_no, 'cit' || row_number() OVER w AS cit_id, "SECTION", "CITATION" FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY first_seq, citkey)""")
+def citation_contexts(spark, sf_dir):
+    return _contexts(spark, sf_dir)
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, min(event_id) AS first_seq FROM events GROUP BY user_id, event_type")
+def last_value_first_position(spark, sf_dir):
+    return citations.last_value_first_place(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "value")
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def pair_dedup(spark, sf_dir):
+    return citations.first_of(documents(spark, sf_dir).select("doc_id", "text"), ["text"], ["doc_id"]).select("text", "doc_id")
+
+
+@query("""SELECT page_id, href, min(pos)::BIGINT AS pos FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)) GROUP BY page_id, href""")
+def html_links(spark, sf_dir):
+    return listing.links(table(spark, sf_dir, "pages"))
+
+
+@query(r"""SELECT page_id, replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/+|/+$', '', 'g'), '/', '_') || '.xml' AS file FROM pages""")
+def url_file_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", listing.file_name(F.col("url")).alias("file"))
+
+
+@query("""SELECT base, arg_max(path, version) AS path, max(version) AS version FROM (SELECT 'a' || (o_orderkey % 50) AS base, o_orderkey AS version, 'a' || (o_orderkey % 50) || '_v' || o_orderkey || '_xml.xml' AS path FROM orders) GROUP BY base""")
+def latest_versions(spark, sf_dir):
+    key = F.col("o_orderkey")
+    return listing.latest_versions(table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), (key % 50).cast("string"), F.lit("_v"), key.cast("string"), F.lit("_xml.xml")).alias("path")))
+
+
+@query("SELECT o_orderkey, unnest(range(o_orderkey % 10 + 1, o_orderkey % 17)) AS n FROM orders")
+def range_expansion(spark, sf_dir):
+    key = F.col("o_orderkey").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(listing.between(key % 10, key % 17)).alias("n"))
+
+
+_ENTRY = """CASE conv_id % 5 WHEN 0 THEN '[1]' WHEN 1 THEN '{"SECTION":"a"}' WHEN 2 THEN '{"SECTION":"a","OTHER":"b"}' WHEN 3 THEN '{"SECTION":"a","CITATION":""}' ELSE '{"SECTION":"a","CITATION":"c"}' END"""
+
+
+@query("SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'not an object' WHEN 1 THEN 'missing keys' WHEN 2 THEN 'missing SECTION or CITATION' WHEN 3 THEN 'empty CITATION' END AS error FROM conversations")
+def entry_validation(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classification.entry_error(F.expr(_ENTRY)).alias("error"))
+
+
+@query("""SELECT user_id, CASE WHEN bool_and(ok) THEN 'success' WHEN bool_or(ok) THEN 'partial processing' ELSE 'error' END AS status, count(*) AS steps, count(DISTINCT detail) FILTER (NOT ok) AS errors FROM (SELECT user_id, event_id % 4 <> 0 AS ok, event_type AS detail FROM events) GROUP BY user_id""")
+def manifest_rollup(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 4 != 0, "success").otherwise("error").alias("status"), F.col("event_type").alias("detail"))
+    return manifest.rolled_up(steps, "user_id").withColumn("errors", F.size("errors").cast("long"))
+
+
+@query("""SELECT conv_id, turn, coalesce(role, '') || '. ' || text AS ws, text AS wos, CASE WHEN turn % 2 = 0 THEN text ELSE coalesce(role, '') || '. ' || text END AS m FROM conversations""")
+def context_modes(spark, sf_dir):
+    section = F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.context(F.col("role"), F.col("text"), "WS").alias("ws"), T.context(F.col("role"), F.col("text"), "WoS").alias("wos"), T.context(section, F.col("text"), "M").alias("m"))
+
+
+@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cit_id FROM conversations WHERE CASE WHEN turn % 3 = 0 THEN '' ELSE text END <> ''""")
+def inline_ids(spark, sf_dir):
+    pairs = table(spark, sf_dir, "conversations").withColumn("CITATION", F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")))
+    return classification.with_ids(pairs, ["turn"], ["conv_id"]).select("conv_id", "turn", "cit_id")
+
+
+_COUNTS = ", ".join(f"len(regexp_extract_all(lower(text), '{c}'))::DOUBLE AS c{i}" for i, c in enumerate(classification.CUES.values()))
+_SIG = lambda i: f"(1.0::DOUBLE / (1.0::DOUBLE + exp(2.0::DOUBLE - 2.0::DOUBLE * c{i})) + 1.0::DOUBLE / (1.0::DOUBLE + exp(2.0::DOUBLE - 1.5::DOUBLE * c{i}))) / 2"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_COUNTS} FROM documents), s AS (SELECT doc_id, power({_SIG(0)}, 4) AS a, power({_SIG(1)}, 4) AS b, power({_SIG(2)}, 4) AS r FROM c),
+p AS (SELECT doc_id, a / (a + b + r) AS met, b / (a + b + r) AS bkg, r / (a + b + r) AS res FROM s)
+SELECT doc_id, round(met, 6) AS met, round(bkg, 6) AS bkg, round(res, 6) AS res, CASE WHEN greatest(met, bkg, res) < 0.9 THEN '{fixed.UNRELIABLE}' WHEN met >= bkg AND met >= res THEN '{fixed.LABELS[0]}' WHEN bkg >= res THEN '{fixed.LABELS[1]}' ELSE '{fixed.LABELS[2]}' END AS label FROM p""")
+def intent_labels(spark, sf_dir):
+    out = documents(spark, sf_dir).withColumn("scores", classification.cue_scores(F.col("text")))
+    out = out.withColumn("p", classification.confidences(F.col("scores")))
+    return out.select("doc_id", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("met", "bkg", "res"))], classification.label(F.col("p")).alias("label"))
+
+
+_METRICS = """SELECT file, sum((kind IN ('match', 'partial'))::INT)::BIGINT AS matches, count(pred_id) AS total_pred, count(gt_id) AS total_gt, sum((kind = 'unmatched_pred')::INT)::BIGINT AS mismatches, sum((kind = 'unmatched_gt')::INT)::BIGINT AS unmatched_gt FROM pairs GROUP BY ROLLUP (file)"""
+_NORM = rf"trim(regexp_replace(translate(lower(coalesce(%s, '')), '{fixed.EVAL_DROPPED}', ''), '\s+', ' ', 'g'))"
+_EVAL = rf"""{_SENTS}, g AS (SELECT lang AS file, doc_id * 100000 + sent_no AS id, {_NORM % 'sentence'} AS "CITATION" FROM sents WHERE doc_id % 10 = 0),
+p AS (SELECT lang AS file, doc_id * 100000 + sent_no AS id, {_NORM % "CASE WHEN sent_no % 4 = 0 THEN sentence || ' x' ELSE chr(34) || sentence || ' ,' END"} AS "CITATION" FROM sents WHERE doc_id % 10 = 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY file, "CITATION" ORDER BY id) AS k FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY file, "CITATION" ORDER BY id) AS k FROM g),
+pairs AS (SELECT coalesce(a.file, b.file) AS file, a.id AS pred_id, b.id AS gt_id, CASE WHEN a.id IS NULL THEN 'unmatched_gt' WHEN b.id IS NULL THEN 'unmatched_pred' ELSE 'match' END AS kind
+  FROM a FULL JOIN b ON a.file = b.file AND a."CITATION" = b."CITATION" AND a.k = b.k)"""
+
+
+def _eval_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    sents = citations.sentences(documents(spark, sf_dir)).filter("doc_id % 10 = 0").select(F.col("lang").alias("file"), (F.col("doc_id") * 100000 + F.col("sent_no")).alias("id"), "sent_no", F.col("sentence").alias("CITATION"))
+    sents = sents.withColumn("seq", F.col("id"))
+    changed = F.when(F.col("sent_no") % 4 == 0, F.concat("CITATION", F.lit(" x"))).otherwise(F.concat(F.lit('"'), "CITATION", F.lit(' ,')))
+    return evaluation.normalised(sents.withColumn("CITATION", changed)), evaluation.normalised(sents)
+
+
+@query(f"WITH {_EVAL} SELECT file, pred_id, gt_id, kind FROM pairs")
+def eval_exact_match(spark, sf_dir):
+    return evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"])
+
+
+@query(f"""WITH {_EVAL}, m AS ({_METRICS}), q AS (SELECT *, CASE WHEN total_pred > 0 THEN matches / total_pred::DOUBLE ELSE 0 END AS p, CASE WHEN total_gt > 0 THEN matches / total_gt::DOUBLE ELSE 0 END AS r FROM m)
+SELECT file, matches, total_pred, total_gt, mismatches, unmatched_gt, round(p, 4) AS "precision", round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM q""")
+def eval_micro_total(spark, sf_dir):
+    return evaluation.metrics(evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"]))
+
+
+@query()
+def fuzzy_match(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").withColumn("file", F.col("item_id") % 20)
+    truth = items.select("file", F.col("item_id").alias("id"), F.col("item_id").alias("seq"), F.lit("r").alias("REFERENCE"), T.eval_normalised(F.col("text")).alias("CITATION"))
+    return evaluation.fuzzy_pairs(truth.withColumn("CITATION", F.concat("CITATION", F.lit(" and more"))), truth)
+
+
+@query()
+def token_sort_ratios(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
+    return pairs.filter(may_reach(F.col("text"), F.col("other"), fixed.SIMILAR)).select("item_id", F.round(token_sort("text", "other"), 6).alias("ratio"))
+
+
+_PAGES = """p AS (SELECT s_nationkey AS file, s_suppkey AS pred_id, trim(regexp_replace(s_name || ' 2001, pp. 12-14', ',?\\s*p(?:p)?\\.?\\s+\\d+(?:[-–]\\d+)?(?:\\s*f{2})?', '', 'g')) AS a FROM supplier WHERE regexp_matches(s_name || ' 2001, pp. 12-14', '(?i)\\d{4}[^a-z]*?p(?:p)?\\.?\\s*\\d+')),
+t AS (SELECT s_nationkey AS file, s_suppkey AS gt_id, s_name || ' 2001 (ed.)' AS b FROM supplier)""".replace("\\\\", "\\")
+
+
+@query(f"""WITH {_PAGES} SELECT file, pred_id, min(gt_id) AS gt_id FROM p JOIN t USING (file) WHERE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR (length(a) > 10 AND contains(b, substr(a, 1, 20)))) GROUP BY file, pred_id""")
+def page_correction(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("seq"), "s_name")
+    return evaluation.page_corrected(s.withColumn("REFERENCE", F.concat("s_name", F.lit(" 2001, pp. 12-14"))), s.withColumn("REFERENCE", F.concat("s_name", F.lit(" 2001 (ed.)"))))
+
+
+_KEYWORDS = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, ts) in enumerate(fixed.KEYWORDS.items()) for t in ts)
+_TITLED = """CASE doc_id % 4 WHEN 0 THEN 'Conclusions' WHEN 1 THEN 'Methods and Materials' WHEN 2 THEN 'Previous works of note' ELSE 'Results and Discussion' END"""
+
+
+@query(f"""WITH s AS (SELECT doc_id // 10 AS doc_id, doc_id AS section_no, {_TITLED} AS section FROM documents), k(keyword_no, keyword, title) AS (VALUES {_KEYWORDS})
+SELECT doc_id, section_no, section, title FROM s JOIN k ON contains(lower(section), keyword) QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY section_no, keyword_no) = 1""")
+def keyword_alignment(spark, sf_dir):
+    s = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("doc_id"), F.col("doc_id").alias("section_no"), F.expr(_TITLED).alias("section"))
+    return alignment.by_keyword(s)
+
+
+@query()
+def section_alignment(spark, sf_dir):
+    s = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("doc_id"), F.col("doc_id").alias("section_no"), F.when(F.col("doc_id") % 5 == 0, "Introductions").otherwise(F.expr(_TITLED)).alias("section"))
+    return alignment.aligned(s)
+
+
+@query("""WITH a AS (SELECT label AS doc_id, vec_id, embedding::DOUBLE[] AS e FROM embeddings), t AS (SELECT vec_id AS title, e, doc_id FROM a WHERE vec_id % 50 = 0)
+SELECT a.doc_id, title::VARCHAR AS title, arg_max(a.vec_id, round(list_cosine_similarity(a.e, t.e), 6) * 1000000000 - a.vec_id) AS section_no, max(round(list_cosine_similarity(a.e, t.e), 6)) AS score
+FROM a JOIN t ON a.doc_id = t.doc_id AND a.vec_id <> title WHERE round(list_cosine_similarity(a.e, t.e), 6) > 0.2 GROUP BY a.doc_id, title""")
+def cosine_alignment(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("section_no"), "embedding")
+    titles = v.filter("section_no % 50 = 0").select("doc_id", F.col("section_no").alias("t"), F.col("embedding").alias("te"))
+    scored = v.join(titles, "doc_id").filter("section_no <> t").withColumn("score", F.round(cosine(F.col("embedding"), F.col("te")), 6))
+    scored = scored.select("doc_id", "section_no", F.col("section_no").cast("string").alias("section"), F.col("t").cast("string").alias("title"), "score")
+    return alignment.by_similarity(scored, 0.2).select("doc_id", "title", "section_no", "score")
+
+
+@query("""WITH w AS (SELECT 'c' || c_custkey AS w, CASE WHEN c_custkey % 4 < 2 THEN 'i' || c_nationkey END AS i, CASE WHEN c_custkey % 4 IN (0, 2) THEN 'v' || n_regionkey END AS v, 'j' || n_regionkey AS j FROM customer JOIN nation ON c_nationkey = n_nationkey),
+e AS (SELECT list_filter([w, i, v, j], lambda x: x IS NOT NULL) AS c FROM w)
+SELECT DISTINCT unnest(c[:-2]) AS child, unnest(c[2:]) AS parent FROM e""")
+def container_hierarchy(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
+    r = F.col("c_custkey") % 4
+    return graph.container_edges(c, named("c", "c_custkey"), F.when(r < 2, named("i", "c_nationkey")), F.when(r.isin(0, 2), named("v", "n_regionkey")), named("j", "n_regionkey"))
+
+
+@query("SELECT DISTINCT o_custkey AS citing, l_partkey AS cited FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def distinct_citations(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("citing"), F.col("l_partkey").alias("cited")).distinct()
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey, p_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey")
+def two_hop_cited(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    o, p = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "o_custkey", "p_name")
+
+
+@query()
+def citation_graph(spark, sf_dir):
+    rows = _contexts(spark, sf_dir).withColumns({"REFERENCE": F.lit("R"), "target": F.when(F.col("cit_no") % 4 != 0, F.concat(F.lit("b"), (F.col("cit_no") % 3).cast("string")))})
+    return graph.citation_graph(rows)[1]
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE ELSE date_trunc('year', o_orderdate)::DATE END::VARCHAR AS published FROM orders""")
+def date_granularity(spark, sf_dir):
+    k, d = F.col("o_orderkey") % 3, F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy-MM")).otherwise(F.date_format(d, "yyyy"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.publication_date(text).cast("string").alias("published"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey || '-' || (o_custkey + 3) WHEN 1 THEN o_custkey::VARCHAR WHEN 2 THEN NULL ELSE 't' END AS pages FROM orders""")
+def page_range(spark, sf_dir):
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.page_range(F.when(k < 2, c.cast("string")), F.when(k.isin(0, 2), (c + 3).cast("string")), F.lit("t")).alias("pages"))
+
+
+@query("SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+def set_difference(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id").exceptAll(documents(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id")).distinct()
+
+
+@query("SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled, CASE WHEN l.quality = 1 THEN 'good' WHEN l.quality = 0 THEN 'bad' ELSE 'none' END AS bucket FROM documents d LEFT JOIN labels l USING (doc_id)")
+def document_buckets(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").withColumn("labelled", F.lit(True))
+    return documents(spark, sf_dir).join(lab, "doc_id", "left").select("doc_id", F.coalesce("labelled", F.lit(False)).alias("labelled"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").otherwise("none").alias("bucket"))
+
+
+@query()
+def tei_extraction(spark, sf_dir):
+    """Articles built from documents: a section with two pointers and a foot note, through the whole extractor."""
+    from citeloom.sources import tei
+
+    safe = F.regexp_replace(F.substring(F.regexp_replace("text", r"[<&>]", " "), 1, 400), "[\\x00-\\x08\\x0b-\\x1f]", " ")
+    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head n="1.">Introduction</head><p>'), safe, F.lit('<ref type="bibr" target="#b0">(A, 2001)</ref> and <ref type="bibr" target="#b1">(B, 2002)</ref>.</p></div></body></text></TEI>'))
+    units, refs, _ = tei.shredded(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), xml.alias("xml")))
+    return citations.from_tei(units, refs)
