@@ -8,8 +8,9 @@ mutual near copies) are dealt out in chunks, and a few common members, the same
 Small nodes are compared exhaustively on the minwise tokens and sizes; what they give are candidates only.
 
 Every link is confirmed on the full sets of both texts. In the first round each class has its best candidate confirmed,
-in the second a spanning forest of each node over the components so far, in the third every candidate pair that still
-lies in different components and hasn't failed. Other pairs inside a component are not needed and never made.
+in each later one a spanning forest of each node, likeliest pairs first, over the components so far and without pairs
+that failed; rounds end when one confirms nothing. So a round makes at most a pair a class and leaf, never all pairs of a
+group; a link is lost only if likelier pairs of its node all failed in a round in which nothing else was confirmed.
 Components come from alternating large-star and small-star steps over written tables; nothing of this reaches the driver but counts.
 
 A pair at the threshold shares a leaf in one tree with chance about 0.8 (a little less for each further level), in none
@@ -44,6 +45,9 @@ def _factors(size: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"near", i) | 1 for i in range(size)], np.uint64)
 
 
+ROOTS = np.array([xxhash.xxh64_intdigest(b"tree", i) | 1 for i in range(TREES)], np.uint64)
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = common.WORDS.findall(common.lowered(text or ""))
@@ -59,16 +63,21 @@ def minwise(hashes: np.ndarray) -> bytes:
     return (fingerprint.mixed(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
+def root_tokens(hashes: np.ndarray) -> list[int]:
+    """The minwise token of each tree's root: 64 bits, so that strangers don't meet however many classes there are."""
+    return [int(x) for x in fingerprint.mixed((hashes[:, None] * ROOTS).min(0)).view(np.int64)]
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """d, tie (hash of the text), n, c (128-bit name of the set; null if empty), sig."""
+    """d, tie (hash of the text), n, c (128-bit name of the set; null if empty), sig, roots."""
 
     def rows(cols):
         for d, tie, text in zip(cols["d"], cols["tie"], cols["text"]):
             s = shingle_set(text, size)
-            yield (d, tie, len(s), xxhash.xxh3_128_digest(s.tobytes()), minwise(s)) if len(s) else (d, tie, 0, None, None)
+            yield (d, tie, len(s), xxhash.xxh3_128_digest(s.tobytes()), minwise(s), root_tokens(s)) if len(s) else (d, tie, 0, None, None, None)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
-    return common.mapped(keyed, "d long, tie long, n long, c binary, sig binary", rows, 128)
+    return common.mapped(keyed, "d long, tie long, n long, c binary, sig binary, roots array<long>", rows, 128)
 
 
 def _token(at):
@@ -77,8 +86,7 @@ def _token(at):
 
 def leaves(classes: DataFrame) -> DataFrame:
     """leaf, c, n, sig: every class in every leaf that it reaches, leaves of two classes or more."""
-    roots = F.array(*[F.xxhash64(F.lit(t), _token(F.lit(t * (COORDS // TREES)))) for t in range(TREES)])
-    at = classes.select("c", F.explode(roots).alias("node"))
+    at = classes.select("c", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("node"))
     done, parents = [], None
     for level in range(LEVELS):
         at = common.written(at, "path")
@@ -112,8 +120,7 @@ def leaves(classes: DataFrame) -> DataFrame:
 def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: str, partitions: int) -> DataFrame:
     """u, v, near: candidate pairs of different labels from the leaves; placed: leaf, c; classes: c, n, sig, label, failed.
 
-    Of each leaf, by `which`: "best", one candidate for each class; "forest", the pairs of a spanning forest, best first;
-    "all" that are left. A leaf is bounded, and so are its pairs.
+    Of each leaf, by `which`: "best", one candidate for each class; "forest", the pairs of a spanning forest, best first.
     """
 
     def pairs(n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,10 +156,7 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
             a, b = int(i[k]), int(j[k])
             if names[b] in failed[a]:
                 continue
-            if which == "all":
-                if labels[a] != labels[b]:
-                    yield names[a], names[b], float(near[k])
-            elif which == "forest":
+            if which == "forest":
                 x, y = find(labels[a]), find(labels[b])
                 if x != y:
                     root[x] = y
@@ -236,7 +240,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     threshold = percent / 100
     drawn = common.written(sketches(docs, size), "sketches")
     rep = F.min(F.struct("d", "tie")).alias("rep")
-    classes = common.written(drawn.filter("c IS NOT NULL").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("d").alias("least_d")), "classes")
+    classes = common.written(drawn.filter("c IS NOT NULL").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("d").alias("least_d")), "classes")
     placed = common.written(leaves(classes), "leaves")
     parts = common.pieces(placed.count(), 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = classes.select("c", "n", "sig", F.col("c").alias("label"), F.lit(None).cast("array<binary>").alias("failed"))
@@ -246,18 +250,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     source = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
     texts = named.join(source, F.col("rd").eqNullSafe(F.col("d")) & (F.col("rt") == F.col("tie"))).select("c", "text").dropDuplicates(["c"])
     texts = common.written(texts, "texts")
+    reached = placed
     placed = common.written(placed.join(ends, "c"), "leaves")  # no other class has a candidate
+    common.dropped(reached)
     judged = common.written(confirmed(best_of_each(pairs), texts, size, percent), "judged")
-    for which in ("forest", "all"):
+    while True:
         labels = common.written(components(judged.filter("ok")), "labels")
         no = judged.filter("NOT ok")
         no = no.select(F.col("u").alias("c"), F.col("v").alias("f")).unionByName(no.select(F.col("v").alias("c"), F.col("u").alias("f")))
         state = classes.join(ends, "c").select("c", "n", "sig").join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
         state = state.withColumn("label", F.coalesce("label", "c"))
-        fresh = common.written(candidates(placed, state, threshold, which, parts), "pairs")
+        fresh = common.written(candidates(placed, state, threshold, "forest", parts), "pairs")
         if not fresh.take(1):
             break
-        judged = common.written(judged.unionByName(confirmed(fresh.select("u", "v"), texts, size, percent)), "judged")
+        turn = common.written(confirmed(fresh.select("u", "v"), texts, size, percent), "judged-turn")
+        judged = common.written(judged.unionByName(turn), "judged")
+        if not turn.filter("ok").take(1):
+            break  # the likeliest pairs of all nodes have failed; what is left has lower estimates
     labels = common.written(components(judged.filter("ok")), "labels")
     named = classes.select("c", "least_d").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = common.written(named.groupBy("label").agg(F.min("least_d").alias("component_id")), "ids")
