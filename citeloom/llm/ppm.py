@@ -51,7 +51,7 @@ def mask(order: int) -> np.uint64:
 
 def squeeze(x: np.ndarray) -> bytes:
     """An integer array, byte planes apart, compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
 
 def expand(data: bytes, kind: str) -> np.ndarray:
