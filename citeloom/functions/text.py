@@ -44,7 +44,7 @@ def _abbreviations() -> str:
 def sentences(c: Column) -> Column:
     """The sentences of a text (P7): cut after . ! ? and a blank, except after an abbreviation, and at line feeds."""
     for _ in range(2):  # neighbouring abbreviations share a blank
-        c = F.regexp_replace(c, rf"(^|[ (\n])({_abbreviations()}) ", f"$1$2{HELD}")
+        c = F.regexp_replace(c, rf"(^|[ (\n\x02])({_abbreviations()}) ", f"$1$2{HELD}")
     c = F.translate(F.regexp_replace(c, r"([.!?]) ", f"$1{SENTENCE}"), "\n" + HELD, SENTENCE + " ")
     return F.split(c, SENTENCE, -1)
 

@@ -48,7 +48,7 @@ def pointed(spark, sf_dir: str) -> DataFrame:
 
 _PROTECTED = "text"
 for _ in range(2):
-    _PROTECTED = rf"regexp_replace({_PROTECTED}, '(^|[ (\n])({T._abbreviations()}) ', '\1\2' || chr(2), 'g')"
+    _PROTECTED = rf"regexp_replace({_PROTECTED}, '(^|[ (\n\x02])({T._abbreviations()}) ', '\1\2' || chr(2), 'g')"
 _SENTS = rf"""
 l AS (SELECT doc_id, lang, source, string_split(translate(regexp_replace({_PROTECTED}, '([.!?]) ', '\1' || chr(1), 'g'), chr(10) || chr(2), chr(1) || ' '), chr(1)) AS l FROM documents),
 u AS (SELECT doc_id, lang, source, unnest(l) AS sentence, (generate_subscripts(l, 1) - 1)::BIGINT AS sent_no FROM l),
