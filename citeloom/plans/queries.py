@@ -259,9 +259,9 @@ def _eval_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return evaluation.normalised(sents.withColumn("CITATION", changed)), evaluation.normalised(sents)
 
 
-@query(f"WITH {_EVAL} SELECT file, pred_id, gt_id, kind FROM pairs")
+@query(f"WITH {_EVAL} SELECT file, pred_id::VARCHAR AS pred_id, gt_id::VARCHAR AS gt_id, kind FROM pairs")
 def eval_exact_match(spark, sf_dir):
-    return evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"])
+    return evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"]).withColumns({c: F.col(c).cast("string") for c in ("pred_id", "gt_id")})
 
 
 @query(f"""WITH {_EVAL}, m AS ({_METRICS}), q AS (SELECT *, CASE WHEN total_pred > 0 THEN matches / total_pred::DOUBLE ELSE 0 END AS p, CASE WHEN total_gt > 0 THEN matches / total_gt::DOUBLE ELSE 0 END AS r FROM m)
