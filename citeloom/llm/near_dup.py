@@ -106,7 +106,8 @@ def leaves(classes: DataFrame) -> DataFrame:
         dense = at.join(large.filter(stuck).select("node", F.ceil(F.col("size") * 2 / LEAF).cast("int").alias("chunks"), "size"), "node")
         chunks = F.when(spread < F.lit(LEADERS * (1 << 30)) / F.col("size"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(spread, F.col("chunks")).cast("int")))
         done.append(dense.select("node", "c", F.explode(chunks).alias("chunk")).select(F.xxhash64("node", "chunk", F.lit("chunk")).alias("leaf"), "c"))
-        more = at.join(large.filter(~stuck).select("node", "size"), "node").join(classes.select("c", "sig"), "c")
+        # written first: Spark then knows its size, and moves the signatures only if it is too large to broadcast
+        more = common.written(at.join(large.filter(~stuck).select("node", "size"), "node"), "path-large").join(classes.select("c", "sig"), "c")
         child = [F.struct(F.xxhash64("node", F.lit(j), _token(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int"))).alias("node"), F.col("size").alias("above")) for j in range(FORK)]
         more = common.written(more.select("c", F.explode(F.array(*child)).alias("to")).select("c", "to.node", "to.above"), "path-child")
         parents = more.select("node", "above").distinct()
@@ -118,9 +119,10 @@ def leaves(classes: DataFrame) -> DataFrame:
 
 
 def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: str, partitions: int) -> DataFrame:
-    """u, v, near: candidate pairs of different labels from the leaves; placed: leaf, c; classes: c, n, sig, label, failed.
+    """leaf, u, v, near: candidate pairs of different labels from the leaves; placed: leaf, c; classes: c, n, sig, label, failed.
 
     Of each leaf, by `which`: "best", one candidate for each class; "forest", the pairs of a spanning forest, best first.
+    A leaf that gives none never will: labels only merge, and failed pairs only grow.
     """
 
     def pairs(n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
 
         def flush():
             rows, got[:] = [*got], []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.float64()))], names=["u", "v", "near"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.float64()))], names=["leaf", "u", "v", "near"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -178,19 +180,18 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
                 for node, c, n, sig, label, failed in zip(*(cols[k] for k in ("leaf", "c", "n", "sig", "label", "failed"))):
                     if node != now:
                         if len(members) > 1:
-                            got.extend(leaf(members))
+                            got.extend((now, *pair) for pair in leaf(members))
                         now, members = node, {}
                     members[c] = (n, sig, label, frozenset(failed or ()))
                 if got:
                     yield flush()
         if len(members) > 1:
-            got.extend(leaf(members))
+            got.extend((now, *pair) for pair in leaf(members))
         if got:
             yield flush()
 
     rows = placed.join(classes, "c").select("leaf", "c", "n", "sig", "label", "failed")
-    found = rows.repartition(partitions, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "u binary, v binary, near double")
-    return found.groupBy("u", "v").agg(F.max("near").alias("near"))
+    return rows.repartition(partitions, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "leaf long, u binary, v binary, near double")
 
 
 def best_of_each(pairs: DataFrame) -> DataFrame:
@@ -213,11 +214,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return common.mapped(two.select("u", "v", "a", "b"), "u binary, v binary, ok boolean", rows, 64)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then each v is the least of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return not ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below + above > 1").take(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """c, label (the least name in its component) of all ends of edges (u, v)."""
     edges = common.written(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).filter("u <> v").distinct(), "star")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m")), "star-least")
         large = both.filter("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -226,10 +232,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("x"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
         edges = common.written(small.filter("u <> v").distinct(), "star")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("c"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
@@ -244,18 +246,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = common.written(leaves(classes), "leaves")
     parts = common.pieces(placed.count(), 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = classes.select("c", "n", "sig", F.col("c").alias("label"), F.lit(None).cast("array<binary>").alias("failed"))
-    pairs = common.written(candidates(placed, plain, threshold, "best", parts), "pairs")
-    ends = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
-    named = classes.select("c", F.col("rep.d").alias("rd"), F.col("rep.tie").alias("rt")).join(ends, "c")
+    found = common.written(candidates(placed, plain, threshold, "best", parts), "pairs")
+    pairs = found.groupBy("u", "v").agg(F.max("near").alias("near"))
+    ends = common.written(found.select(F.col("u").alias("c")).unionByName(found.select(F.col("v").alias("c"))).distinct(), "ends")
+    # written first, so that Spark knows the size and moves all texts only if the names are too large to broadcast
+    named = common.written(classes.select("c", F.col("rep.d").alias("rd"), F.col("rep.tie").alias("rt")).join(ends, "c"), "named")
     source = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
     texts = named.join(source, F.col("rd").eqNullSafe(F.col("d")) & (F.col("rt") == F.col("tie"))).select("c", "text").dropDuplicates(["c"])
     texts = common.written(texts, "texts")
     reached = placed
-    placed = common.written(placed.join(ends, "c"), "leaves")  # no other class has a candidate
+    placed = common.written(placed.join(found.select("leaf").distinct(), "leaf", "left_semi").join(ends, "c"), "leaves")  # no other has a candidate
     common.dropped(reached)
     judged = common.written(confirmed(best_of_each(pairs), texts, size, percent), "judged")
+    labels = common.written(components(judged.filter("ok")), "labels")
     while True:
-        labels = common.written(components(judged.filter("ok")), "labels")
         no = judged.filter("NOT ok")
         no = no.select(F.col("u").alias("c"), F.col("v").alias("f")).unionByName(no.select(F.col("v").alias("c"), F.col("u").alias("f")))
         state = classes.join(ends, "c").select("c", "n", "sig").join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
@@ -263,11 +267,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         fresh = common.written(candidates(placed, state, threshold, "forest", parts), "pairs")
         if not fresh.take(1):
             break
-        turn = common.written(confirmed(fresh.select("u", "v"), texts, size, percent), "judged-turn")
+        turn = common.written(confirmed(fresh.select("u", "v").distinct(), texts, size, percent), "judged-turn")
         judged = common.written(judged.unionByName(turn), "judged")
         if not turn.filter("ok").take(1):
             break  # the likeliest pairs of all nodes have failed; what is left has lower estimates
-    labels = common.written(components(judged.filter("ok")), "labels")
+        merged = labels.select(F.col("c").alias("u"), F.col("label").alias("v")).unionByName(turn.filter("ok").select("u", "v"))
+        labels = common.written(components(merged), "labels")
+        reached = placed
+        placed = common.written(placed.join(fresh.select("leaf").distinct(), "leaf", "left_semi"), "leaves")
+        common.dropped(reached)
     named = classes.select("c", "least_d").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = common.written(named.groupBy("label").agg(F.min("least_d").alias("component_id")), "ids")
     by_class = common.written(named.join(ids, "label").select("c", "label", "component_id"), "by-class")
