@@ -66,7 +66,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, tie (hash of the text), n, ids (little-endian, the end id last) of each row."""
 
     def rows(cols):
-        encoded = _tokenizer(path).encode_batch([t or "" for t in cols["text"]], add_special_tokens=False)
+        encoded = _tokenizer(path).encode_batch_fast([t or "" for t in cols["text"]], add_special_tokens=False)
         for doc_id, tie, e in zip(cols["doc_id"], cols["tie"], encoded):
             ids = np.array([*e.ids, END], "<u4")
             yield doc_id, tie, len(ids), ids.tobytes()
