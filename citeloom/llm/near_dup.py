@@ -118,6 +118,14 @@ def leaves(classes: DataFrame) -> DataFrame:
     return out
 
 
+def distinct_leaves(placed: DataFrame) -> DataFrame:
+    """placed without leaves whose classes are those of another leaf: similar classes meet in most trees, and the same
+    classes give the same pairs. Sets are compared by size and 128 bits."""
+    sets = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"))
+    one = common.written(sets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaves-distinct")
+    return placed.join(one, "leaf", "left_semi")
+
+
 def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: str, partitions: int) -> DataFrame:
     """leaf, u, v, near: candidate pairs of different labels from the leaves; placed: leaf, c; classes: c, n, sig, label, failed.
 
@@ -243,7 +251,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     drawn = common.written(sketches(docs, size), "sketches")
     rep = F.min(F.struct("d", "tie")).alias("rep")
     classes = common.written(drawn.filter("c IS NOT NULL").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("d").alias("least_d")), "classes")
-    placed = common.written(leaves(classes), "leaves")
+    reached = common.written(leaves(classes), "leaves")
+    placed = common.written(distinct_leaves(reached), "leaves")
+    common.dropped(reached)
     parts = common.pieces(placed.count(), 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plain = classes.select("c", "n", "sig", F.col("c").alias("label"), F.lit(None).cast("array<binary>").alias("failed"))
     found = common.written(candidates(placed, plain, threshold, "best", parts), "pairs")
