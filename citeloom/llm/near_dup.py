@@ -255,10 +255,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = common.written(distinct_leaves(reached), "leaves")
     common.dropped(reached)
     parts = common.pieces(placed.count(), 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    plain = classes.select("c", "n", "sig", F.col("c").alias("label"), F.lit(None).cast("array<binary>").alias("failed"))
+    met = common.written(placed.select("c").distinct(), "met")
+    members = common.written(classes.select("c", "n", "sig").join(met, "c"), "members")  # most classes meet none
+    plain = members.withColumns({"label": F.col("c"), "failed": F.lit(None).cast("array<binary>")})
     found = common.written(candidates(placed, plain, threshold, "best", parts), "pairs")
     pairs = found.groupBy("u", "v").agg(F.max("near").alias("near"))
     ends = common.written(found.select(F.col("u").alias("c")).unionByName(found.select(F.col("v").alias("c"))).distinct(), "ends")
+    members = common.written(members.join(ends, "c"), "members")
     # written first, so that Spark knows the size and moves all texts only if the names are too large to broadcast
     named = common.written(classes.select("c", F.col("rep.d").alias("rd"), F.col("rep.tie").alias("rt")).join(ends, "c"), "named")
     source = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
@@ -272,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     while True:
         no = judged.filter("NOT ok")
         no = no.select(F.col("u").alias("c"), F.col("v").alias("f")).unionByName(no.select(F.col("v").alias("c"), F.col("u").alias("f")))
-        state = classes.join(ends, "c").select("c", "n", "sig").join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
+        state = members.join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
         state = state.withColumn("label", F.coalesce("label", "c"))
         fresh = common.written(candidates(placed, state, threshold, "forest", parts), "pairs")
         if not fresh.take(1):
