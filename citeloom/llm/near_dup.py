@@ -208,6 +208,16 @@ def best_of_each(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("e").agg(F.max("p").alias("p")).select("p.u", "p.v").distinct()
 
 
+def maybe_in(rows: DataFrame, names: DataFrame, bits: int = 24) -> DataFrame:
+    """rows (key: a hash) without most whose key isn't among names' (key), by a bitmap of 2^bits bits, at most 2^(bits - 6) rows
+    that are broadcast whatever the input. It only spares the shuffle of a join that follows; none that joins is lost."""
+    bit = F.shiftrightunsigned("key", 64 - bits)
+    words = names.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS INT))").alias("mask"))
+    words = words.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    there = rows.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("word"))
+    return there.filter(F.expr(f"shiftrightunsigned(mask, CAST(shiftrightunsigned(key, {64 - bits}) & 63 AS INT)) & 1 = 1")).drop("word", "mask")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """u, v, ok: whether 100 * intersection >= percent * union of the full sets; texts: c, text."""
 
@@ -265,6 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # written first, so that Spark knows the size and moves all texts only if the names are too large to broadcast
     named = common.written(classes.select("c", F.col("rep.d").alias("rd"), F.col("rep.tie").alias("rt")).join(ends, "c"), "named")
     source = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text")
+    source = maybe_in(source.withColumn("key", F.xxhash64("d", "tie")), named.select(F.xxhash64("rd", "rt").alias("key"))).drop("key")
     texts = named.join(source, F.col("rd").eqNullSafe(F.col("d")) & (F.col("rt") == F.col("tie"))).select("c", "text").dropDuplicates(["c"])
     texts = common.written(texts, "texts")
     reached = placed
