@@ -180,3 +180,16 @@ def test_near_duplicates(docs, rows, empty):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in near_dup.near_duplicates(docs, 4, 80).collect()) == want
     assert near_dup.near_duplicates(empty).count() == 0
     assert near_dup.kept_rows(docs).columns == docs.columns
+
+
+def test_near_duplicates_spared_work(spark):
+    keys = spark.range(4000).select(F.xxhash64("id").alias("key"), "id")
+    names = keys.filter("id % 10 = 0").select("key")
+    for bits in (8, 24):  # a full bitmap keeps all, a wide one little else
+        left = {r["id"] for r in near_dup.maybe_in(keys, names, bits).collect()}
+        assert left >= set(range(0, 4000, 10))
+        assert bits == 8 or len(left) < 410
+    assert near_dup.maybe_in(keys, names.limit(0)).count() == 0
+    sets = {1: "ab", 2: "ab", 3: "abc", 4: "cd", 5: "e"}
+    placed = spark.createDataFrame([(k, bytearray(c.encode())) for k, cs in sets.items() for c in cs], "leaf long, c binary")
+    assert {r["leaf"] for r in near_dup.distinct_leaves(placed).collect()} == {1, 3, 4}
