@@ -3,9 +3,11 @@
 A document's set are its word shingles, hashed to 64 bits; equal sets form one class, so copies are never paired. Each
 class has COORDS minwise tokens. In each of TREES independent trees every class goes down the path that a chosen
 token gives; nodes with more than LEAF classes branch again, by FORK tokens that the node's own id chooses, so that a
-class follows all of them and similar classes stay together on some path. Nodes that no longer shrink (dense groups of
-mutual near copies) are dealt out in chunks, and a few common members, the same for all chunks, tie these together.
-Small nodes are compared exhaustively on the minwise tokens and sizes; what they give are candidates only.
+class follows all of them and similar classes stay together on some path. Nodes that no longer shrink are dense (groups of
+near copies, or texts with a large common part). They are dealt out in chunks first, and a few common members, the same
+for all chunks, tie these together: that joins a group of near copies at once. Then each dense node is compared as a whole,
+by blocks of two chunks, leaving out only pairs that are in one component already.
+Leaves and blocks are compared exhaustively on the minwise tokens and sizes; what they give are candidates only.
 
 Every link is confirmed on the full sets of both texts. In the first round each class has its best candidate confirmed,
 in each later one a spanning forest of each node, likeliest pairs first, over the components so far and without pairs
@@ -84,10 +86,11 @@ def _token(at):
     return F.substring("sig", at * 2 + 1, F.lit(2))
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """leaf, c, n, sig: every class in every leaf that it reaches, leaves of two classes or more."""
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """leaf, c: every class in every small leaf that it reaches, leaves of two classes or more; the same of the chunks of the
+    dense nodes, and of these nodes as wholes (None if there are none)."""
     at = classes.select("c", F.explode(F.transform("roots", lambda x, t: F.xxhash64(t, x))).alias("node"))
-    done, parents = [], None
+    done, dealt, whole, parents = [], [], [], None
     for level in range(LEVELS):
         at = common.written(at, "path")
         sizes = at.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
@@ -105,17 +108,16 @@ def leaves(classes: DataFrame) -> DataFrame:
         spread = F.pmod(F.xxhash64("c", "node"), F.lit(1 << 30))
         dense = at.join(large.filter(stuck).select("node", F.ceil(F.col("size") * 2 / LEAF).cast("int").alias("chunks"), "size"), "node")
         chunks = F.when(spread < F.lit(LEADERS * (1 << 30)) / F.col("size"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.pmod(spread, F.col("chunks")).cast("int")))
-        done.append(dense.select("node", "c", F.explode(chunks).alias("chunk")).select(F.xxhash64("node", "chunk", F.lit("chunk")).alias("leaf"), "c"))
+        whole.append(dense.select(F.col("node").alias("leaf"), "c"))
+        dealt.append(dense.select("node", "c", F.explode(chunks).alias("chunk")).select(F.xxhash64("node", "chunk", F.lit("chunk")).alias("leaf"), "c"))
         # written first: Spark then knows its size, and moves the signatures only if it is too large to broadcast
         more = common.written(at.join(large.filter(~stuck).select("node", "size"), "node"), "path-large").join(classes.select("c", "sig"), "c")
         child = [F.struct(F.xxhash64("node", F.lit(j), _token(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDS)).cast("int"))).alias("node"), F.col("size").alias("above")) for j in range(FORK)]
         more = common.written(more.select("c", F.explode(F.array(*child)).alias("to")).select("c", "to.node", "to.above"), "path-child")
         parents = more.select("node", "above").distinct()
         at = more.select("c", "node")
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    union = functools.partial(functools.reduce, DataFrame.unionByName)
+    return union(done), union(dealt) if dealt else None, union(whole) if whole else None
 
 
 def distinct_leaves(placed: DataFrame) -> DataFrame:
@@ -126,18 +128,50 @@ def distinct_leaves(placed: DataFrame) -> DataFrame:
     return placed.join(one, "leaf", "left_semi")
 
 
+def blocks(dense: DataFrame, labels: DataFrame) -> DataFrame:
+    """leaf, c, side: each two members (leaf, c) of a dense node that have different labels (c, label) meet in one leaf, on
+    different sides or on side 0.
+
+    Components of more than LEAF / 2 members make up chunks of their own, which need not meet each other; all others share
+    chunks of about LEAF / 2. A leaf is two chunks, or one of several components.
+    """
+    half = LEAF // 2
+    at = dense.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    sizes = common.written(at.groupBy("leaf", "label").agg(F.count("*").alias("size")), "dense-size")
+    mixed = sizes.groupBy("leaf").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("size") <= half, F.col("size")).otherwise(0)).alias("small")).filter("labels > 1")
+    sizes = sizes.join(mixed.select("leaf", "small"), "leaf").select(F.col("leaf").alias("node"), F.col("label").alias("name"), "size", "small")
+    at = at.join(sizes, (F.col("leaf") == F.col("node")) & (F.col("label") == F.col("name"))).drop("leaf", "name")
+    large = F.col("size") > half
+    deal = lambda key, n: F.pmod(F.xxhash64(key, "node"), F.ceil(n / half)).cast("int")
+    chunk = F.struct(F.when(large, F.col("label")).alias("of"), F.when(large, deal("c", F.col("size"))).otherwise(deal("label", F.col("small"))).alias("part"))
+    at = common.written(at.select("node", "c", chunk.alias("chunk")), "dense")
+    chunks = at.select("node", "chunk").distinct()
+    both = chunks.withColumnRenamed("chunk", "one").join(chunks.withColumnRenamed("chunk", "two"), "node")
+    both = both.filter((F.col("one") <= F.col("two")) & ~F.coalesce(F.col("one.of") == F.col("two.of"), F.lit(False)))
+    both = both.withColumn("leaf", F.xxhash64("node", "one.of", "one.part", "two.of", "two.part", F.lit("block")))
+    same = F.col("one") == F.col("two")
+    ends = both.select("node", "leaf", F.col("one").alias("chunk"), F.when(same, 0).otherwise(1).alias("side"))
+    ends = ends.unionByName(both.filter(~same).select("node", "leaf", F.col("two").alias("chunk"), F.lit(2).alias("side")))
+    ends = ends.select("node", "leaf", "side", F.col("chunk.of").alias("of"), F.col("chunk.part").alias("part"))
+    at = at.select("node", "c", F.col("chunk.of").alias("its"), F.col("chunk.part").alias("own"))
+    met = at.join(ends.withColumnRenamed("node", "in"), (F.col("node") == F.col("in")) & F.col("its").eqNullSafe(F.col("of")) & (F.col("own") == F.col("part")))
+    return met.select("leaf", "c", "side")
+
+
 def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: str, partitions: int) -> DataFrame:
-    """leaf, u, v, near: candidate pairs of different labels from the leaves; placed: leaf, c; classes: c, n, sig, label, failed.
+    """leaf, u, v, near: candidate pairs of different labels from the leaves; classes: c, n, sig, label, failed; placed: leaf, c,
+    and side if members of one side (but 0) aren't to be compared.
 
     Of each leaf, by `which`: "best", one candidate for each class; "forest", the pairs of a spanning forest, best first.
     A leaf that gives none never will: labels only merge, and failed pairs only grow.
     """
 
-    def pairs(n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(n: np.ndarray, sig: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, j, near = [], [], []
         for k in range(len(n) - 1):
             small = np.minimum(n[k], n[k + 1 :])
-            at = np.flatnonzero(small >= (threshold - 1e-9) * np.maximum(n[k], n[k + 1 :]))
+            ok = small >= (threshold - 1e-9) * np.maximum(n[k], n[k + 1 :])
+            at = np.flatnonzero(ok & (side[k + 1 :] != side[k]) if side[k] else ok)
             if len(at):
                 est = (sig[k + 1 + at] == sig[k]).mean(1)
                 ok = est >= threshold - MARGIN
@@ -160,7 +194,7 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
                 root[x] = x = root[root[x]]
             return x
 
-        i, j, near = pairs(n, sig)
+        i, j, near = pairs(n, sig, np.array([members[c][4] for c in names]))
         best: set[int] = set()
         for k in np.lexsort((j, i, -near)):
             a, b = int(i[k]), int(j[k])
@@ -185,12 +219,12 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 cols = whole.slice(at, 1024).to_pydict()
-                for node, c, n, sig, label, failed in zip(*(cols[k] for k in ("leaf", "c", "n", "sig", "label", "failed"))):
+                for node, c, n, sig, label, failed, side in zip(*cols.values()):
                     if node != now:
                         if len(members) > 1:
                             got.extend((now, *pair) for pair in leaf(members))
                         now, members = node, {}
-                    members[c] = (n, sig, label, frozenset(failed or ()))
+                    members[c] = (n, sig, label, frozenset(failed or ()), side)
                 if got:
                     yield flush()
         if len(members) > 1:
@@ -198,7 +232,8 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
         if got:
             yield flush()
 
-    rows = placed.join(classes, "c").select("leaf", "c", "n", "sig", "label", "failed")
+    placed = placed if "side" in placed.columns else placed.withColumn("side", F.lit(0))
+    rows = placed.join(classes, "c").select("leaf", "c", "n", "sig", "label", "failed", "side")
     return rows.repartition(partitions, "leaf").sortWithinPartitions("leaf").mapInArrow(run, "leaf long, u binary, v binary, near double")
 
 
@@ -253,22 +288,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, tie (hash of the text), label (of its component; null without words), n_shingles, component_id, kept, n_links
-    (confirmed links of its set) of each row."""
-    spark = docs.sparkSession
+def linked(docs: DataFrame, classes: DataFrame, placed: DataFrame, before: tuple[DataFrame, DataFrame] | None, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """judged (u, v, ok) and labels (c, label) after the candidates of these leaves, and what was found before them."""
     threshold = percent / 100
-    drawn = common.written(sketches(docs, size), "sketches")
-    rep = F.min(F.struct("d", "tie")).alias("rep")
-    classes = common.written(drawn.filter("c IS NOT NULL").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("d").alias("least_d")), "classes")
-    reached = common.written(leaves(classes), "leaves")
-    placed = common.written(distinct_leaves(reached), "leaves")
-    common.dropped(reached)
-    parts = common.pieces(placed.count(), 20_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = common.pieces(placed.count(), 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def state(members: DataFrame, found: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+        if found is None:
+            return members.withColumns({"label": F.col("c"), "failed": F.lit(None).cast("array<binary>")})
+        judged, labels = found
+        no = judged.filter("NOT ok")
+        no = no.select(F.col("u").alias("c"), F.col("v").alias("f")).unionByName(no.select(F.col("v").alias("c"), F.col("u").alias("f")))
+        out = members.join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
+        return out.withColumn("label", F.coalesce("label", "c"))
+
+    def more(turn: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if before is None:
+            return turn, common.written(components(turn.filter("ok")), "labels")
+        judged, labels = before
+        merged = labels.select(F.col("c").alias("u"), F.col("label").alias("v")).unionByName(turn.filter("ok").select("u", "v"))
+        return common.written(judged.unionByName(turn), "judged"), common.written(components(merged), "labels")
+
     met = common.written(placed.select("c").distinct(), "met")
     members = common.written(classes.select("c", "n", "sig").join(met, "c"), "members")  # most classes meet none
-    plain = members.withColumns({"label": F.col("c"), "failed": F.lit(None).cast("array<binary>")})
-    found = common.written(candidates(placed, plain, threshold, "best", parts), "pairs")
+    found = common.written(candidates(placed, state(members, before), threshold, "best", parts), "pairs")
+    if before is not None and not found.take(1):
+        return before
     pairs = found.groupBy("u", "v").agg(F.max("near").alias("near"))
     ends = common.written(found.select(F.col("u").alias("c")).unionByName(found.select(F.col("v").alias("c"))).distinct(), "ends")
     members = common.written(members.join(ends, "c"), "members")
@@ -281,25 +326,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reached = placed
     placed = common.written(placed.join(found.select("leaf").distinct(), "leaf", "left_semi").join(ends, "c"), "leaves")  # no other has a candidate
     common.dropped(reached)
-    judged = common.written(confirmed(best_of_each(pairs), texts, size, percent), "judged")
-    labels = common.written(components(judged.filter("ok")), "labels")
+    before = more(common.written(confirmed(best_of_each(pairs), texts, size, percent), "judged"))
     while True:
-        no = judged.filter("NOT ok")
-        no = no.select(F.col("u").alias("c"), F.col("v").alias("f")).unionByName(no.select(F.col("v").alias("c"), F.col("u").alias("f")))
-        state = members.join(labels, "c", "left").join(no.groupBy("c").agg(F.collect_set("f").alias("failed")), "c", "left")
-        state = state.withColumn("label", F.coalesce("label", "c"))
-        fresh = common.written(candidates(placed, state, threshold, "forest", parts), "pairs")
+        fresh = common.written(candidates(placed, state(members, before), threshold, "forest", parts), "pairs")
         if not fresh.take(1):
             break
         turn = common.written(confirmed(fresh.select("u", "v").distinct(), texts, size, percent), "judged-turn")
-        judged = common.written(judged.unionByName(turn), "judged")
+        before = more(turn)
         if not turn.filter("ok").take(1):
             break  # the likeliest pairs of all nodes have failed; what is left has lower estimates
-        merged = labels.select(F.col("c").alias("u"), F.col("label").alias("v")).unionByName(turn.filter("ok").select("u", "v"))
-        labels = common.written(components(merged), "labels")
         reached = placed
         placed = common.written(placed.join(fresh.select("leaf").distinct(), "leaf", "left_semi"), "leaves")
         common.dropped(reached)
+    common.dropped(texts)
+    return before
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, tie (hash of the text), label (of its component; null without words), n_shingles, component_id, kept, n_links
+    (confirmed links of its set) of each row."""
+    drawn = common.written(sketches(docs, size), "sketches")
+    rep = F.min(F.struct("d", "tie")).alias("rep")
+    classes = common.written(drawn.filter("c IS NOT NULL").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("roots").alias("roots"), F.min("d").alias("least_d")), "classes")
+    reached, chunks, dense = leaves(classes)
+    reached = common.written(reached, "leaves")
+    placed = distinct_leaves(reached)
+    found = None
+    if dense is not None:
+        dealt = common.written(chunks, "leaves")
+        found = linked(docs, classes, common.written(distinct_leaves(dealt), "leaves"), None, size, percent)
+        common.dropped(dealt)
+        placed = placed.withColumn("side", F.lit(0)).unionByName(blocks(distinct_leaves(dense), found[1]))
+    placed = common.written(placed, "leaves")
+    common.dropped(reached)
+    judged, labels = linked(docs, classes, placed, found, size, percent)
     named = classes.select("c", "least_d").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = common.written(named.groupBy("label").agg(F.min("least_d").alias("component_id")), "ids")
     by_class = common.written(named.join(ids, "label").select("c", "label", "component_id"), "by-class")

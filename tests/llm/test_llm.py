@@ -193,3 +193,39 @@ def test_near_duplicates_spared_work(spark):
     sets = {1: "ab", 2: "ab", 3: "abc", 4: "cd", 5: "e"}
     placed = spark.createDataFrame([(k, bytearray(c.encode())) for k, cs in sets.items() for c in cs], "leaf long, c binary")
     assert {r["leaf"] for r in near_dup.distinct_leaves(placed).collect()} == {1, 3, 4}
+
+
+def test_near_duplicates_dense(spark):
+    """A star: 2400 edited copies are each like the original, and hardly like each other; and a group with a common part only."""
+    rng = random.Random(5)
+    first = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(first))]
+    for i in range(1, 2400):
+        text = list(first)
+        for at in range(10 + i % 3, 190, 45):
+            text[at + rng.randrange(40)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    part = [f"p{i}" for i in range(130)]
+    for i in range(700):
+        rows.append((10_000 + i, " ".join(part + [f"y{i}x{j}" for j in range(70)])))
+    sets = [set(map(int, near_dup.shingle_set(t, 4))) for _, t in rows]
+    assert all(100 * len(s & sets[0]) >= 80 * len(s | sets[0]) for s in sets[:2400])
+    assert not 100 * len(sets[2400] & sets[2401]) >= 80 * len(sets[2400] | sets[2401])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 4, 80).collect()}
+    assert got == {d: d if d >= 10_000 else 0 for d, _ in rows}
+
+
+def test_near_duplicates_blocks(spark):
+    names = {i: bytes([i // 256, i % 256]) for i in range(1500)}
+    labels = {names[i]: names[0] for i in range(700)} | {names[i]: names[700] for i in range(700, 710)}
+    dense = spark.createDataFrame([(7, bytearray(c)) for c in names.values()], "leaf long, c binary")
+    known = spark.createDataFrame([(bytearray(c), bytearray(x)) for c, x in labels.items()], "c binary, label binary")
+    leaves = collections.defaultdict(list)
+    for r in near_dup.blocks(dense, known).collect():
+        leaves[r.leaf].append((bytes(r.c), r.side))
+    met = {(min(a, b), max(a, b)) for at in leaves.values() for i, (a, x) in enumerate(at) for b, y in at[:i] if x != y or x == 0}
+    all_names = sorted(names.values())
+    assert {(a, b) for i, b in enumerate(all_names) for a in all_names[:i] if labels.get(a, a) != labels.get(b, b)} <= met
+    assert max(map(len, leaves.values())) < 3 * near_dup.LEAF
+    assert near_dup.blocks(dense, known.unionByName(dense.join(known, "c", "left_anti").select("c", F.lit(bytearray(names[0])).alias("label"))).withColumn("label", F.lit(bytearray(names[0])))).count() == 0
