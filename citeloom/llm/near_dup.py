@@ -10,9 +10,9 @@ by blocks of two chunks, leaving out only pairs that are in one component alread
 Leaves and blocks are compared exhaustively on the minwise tokens and sizes; what they give are candidates only.
 
 Every link is confirmed on the full sets of both texts. In the first round each class has its best candidate confirmed,
-in each later one a spanning forest of each node, likeliest pairs first, over the components so far and without pairs
-that failed; rounds end when one confirms nothing. So a round makes at most a pair a class and leaf, never all pairs of a
-group; a link is lost only if likelier pairs of its node all failed in a round in which nothing else was confirmed.
+in each later one some spanning forests of each node, without common pairs, likeliest pairs first, over the components so
+far and without pairs that failed: one forest in the second round, and twice as many in each that follows. Rounds end when
+no node has a candidate between two components that wasn't judged, so what joins a group early spares most of its pairs.
 Components come from alternating large-star and small-star steps over written tables; nothing of this reaches the driver but counts.
 
 A pair at the threshold shares a leaf in one tree with chance about 0.8 (a little less for each further level), in none
@@ -26,7 +26,9 @@ that have the component's id are kept; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,11 +160,11 @@ def blocks(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select("leaf", "c", "side")
 
 
-def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: str, partitions: int) -> DataFrame:
+def candidates(placed: DataFrame, classes: DataFrame, threshold: float, forests: int, partitions: int) -> DataFrame:
     """leaf, u, v, near: candidate pairs of different labels from the leaves; classes: c, n, sig, label, failed; placed: leaf, c,
     and side if members of one side (but 0) aren't to be compared.
 
-    Of each leaf, by `which`: "best", one candidate for each class; "forest", the pairs of a spanning forest, best first.
+    Of each leaf: without forests, the best candidate of each class; else the pairs of so many spanning forests, best first.
     A leaf that gives none never will: labels only merge, and failed pairs only grow.
     """
 
@@ -187,9 +189,9 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
         sig = np.stack([np.frombuffer(members[c][1], "<u2") for c in names])
         labels = [members[c][2] for c in names]
         failed = [members[c][3] for c in names]
-        root = {x: x for x in labels}
+        roots = [{x: x for x in labels}]
 
-        def find(x):
+        def find(root, x):
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
@@ -200,13 +202,19 @@ def candidates(placed: DataFrame, classes: DataFrame, threshold: float, which: s
             a, b = int(i[k]), int(j[k])
             if names[b] in failed[a]:
                 continue
-            if which == "forest":
-                x, y = find(labels[a]), find(labels[b])
-                if x != y:
-                    root[x] = y
+            if labels[a] == labels[b]:
+                continue
+            if not forests:
+                if not {a, b} <= best:
+                    best |= {a, b}
                     yield names[a], names[b], float(near[k])
-            elif labels[a] != labels[b] and not {a, b} <= best:
-                best |= {a, b}
+                continue
+            # what a forest ties together, all before it do: the first that doesn't, by bisection
+            at = bisect.bisect_left(roots, True, key=lambda root: find(root, labels[a]) != find(root, labels[b]))
+            if at == len(roots) < forests:
+                roots.append({x: x for x in roots[0]})
+            if at < len(roots):
+                roots[at][find(roots[at], labels[a])] = find(roots[at], labels[b])
                 yield names[a], names[b], float(near[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,8 +296,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("c"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("label")).distinct())
 
 
-def linked(docs: DataFrame, classes: DataFrame, placed: DataFrame, before: tuple[DataFrame, DataFrame] | None, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """judged (u, v, ok) and labels (c, label) after the candidates of these leaves, and what was found before them."""
+def linked(docs: DataFrame, classes: DataFrame, placed: DataFrame, before: tuple[DataFrame, DataFrame] | None, size: int, percent: int, whole: bool = True) -> tuple[DataFrame, DataFrame]:
+    """judged (u, v, ok) and labels (c, label) after the candidates of these leaves, and what was found before them; not whole:
+    after a round that confirms nothing, though candidates may be left."""
     threshold = percent / 100
     parts = common.pieces(placed.count(), 20_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -311,7 +320,7 @@ def linked(docs: DataFrame, classes: DataFrame, placed: DataFrame, before: tuple
 
     met = common.written(placed.select("c").distinct(), "met")
     members = common.written(classes.select("c", "n", "sig").join(met, "c"), "members")  # most classes meet none
-    found = common.written(candidates(placed, state(members, before), threshold, "best", parts), "pairs")
+    found = common.written(candidates(placed, state(members, before), threshold, 0, parts), "pairs")
     if before is not None and not found.take(1):
         return before
     pairs = found.groupBy("u", "v").agg(F.max("near").alias("near"))
@@ -327,14 +336,14 @@ def linked(docs: DataFrame, classes: DataFrame, placed: DataFrame, before: tuple
     placed = common.written(placed.join(found.select("leaf").distinct(), "leaf", "left_semi").join(ends, "c"), "leaves")  # no other has a candidate
     common.dropped(reached)
     before = more(common.written(confirmed(best_of_each(pairs), texts, size, percent), "judged"))
-    while True:
-        fresh = common.written(candidates(placed, state(members, before), threshold, "forest", parts), "pairs")
+    for forests in (1 << k for k in itertools.count()):
+        fresh = common.written(candidates(placed, state(members, before), threshold, forests, parts), "pairs")
         if not fresh.take(1):
             break
         turn = common.written(confirmed(fresh.select("u", "v").distinct(), texts, size, percent), "judged-turn")
         before = more(turn)
-        if not turn.filter("ok").take(1):
-            break  # the likeliest pairs of all nodes have failed; what is left has lower estimates
+        if not whole and not turn.filter("ok").take(1):
+            break
         reached = placed
         placed = common.written(placed.join(fresh.select("leaf").distinct(), "leaf", "left_semi"), "leaves")
         common.dropped(reached)
@@ -354,7 +363,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = None
     if dense is not None:
         dealt = common.written(chunks, "leaves")
-        found = linked(docs, classes, common.written(distinct_leaves(dealt), "leaves"), None, size, percent)
+        found = linked(docs, classes, common.written(distinct_leaves(dealt), "leaves"), None, size, percent, whole=False)  # blocks hold all of its pairs again
         common.dropped(dealt)
         placed = placed.withColumn("side", F.lit(0)).unionByName(blocks(distinct_leaves(dense), found[1]))
     placed = common.written(placed, "leaves")
