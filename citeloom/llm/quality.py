@@ -1,13 +1,16 @@
 """Quality rules and the hashed n-gram log-likelihood ratio, in DataFrame operations only.
 
 Two multinomials over hashed one- and two-word features are counted: the raw corpus (every document) and the trusted
-target (documents labelled good). A document's score is the mean over its features of log p_target - log p_raw; it is
+target (documents labelled good). Languages and sources have other shares of the labels than of the corpus, so a raw
+document counts with the weight that gives its language and source together their share of the target: like is compared
+with like, and what the target has nothing of is judged by features it shares with others only. A document's score is the mean over its features of log p_target - log p_raw; it is
 kept if no base rule fails and the score reaches a fixed threshold, so equal texts always get equal verdicts. The counts
 are sums by bucket with at most BUCKETS rows; the ratio table is that long, whatever the corpus, and goes into the
 plan as a constant.
 
 The ids of the trusted target are a bounded sample of the labels (the `target_docs` good ones with the smallest hash,
-toxic ones left out), so that marking them needs no shuffle of texts. All other counts cover every document.
+toxic ones left out), so that marking them needs no shuffle of texts. All other counts cover every document. There are
+no more weights than target documents.
 
 Defined results: a null text has no words, fails the base rules and scores 0; repeated doc_ids are judged one row at a
 time (each counts as target if its id is in the sample); without labels or without target features all scores are 0, so
@@ -16,13 +19,15 @@ the base rules alone decide; an empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 BUCKETS = 16384
 TARGET_DOCS = 20_000
+OWN = BUCKETS
+WEIGHT = 1 << 32
 THRESHOLD = -0.06
 SYMBOLS = "#*$%&|<>"
 
@@ -74,18 +79,29 @@ def target_ids(labels: DataFrame, target_docs: int = TARGET_DOCS) -> DataFrame:
 
 
 def ratios(docs: DataFrame, labels: DataFrame | None, target_docs: int = TARGET_DOCS) -> list[float]:
-    """log p_target - log p_raw by bucket, add-one smoothed; all 0 without target features."""
+    """log p_target - log p_raw by bucket, add-one smoothed; all 0 without target features. Raw features are weighted by
+    stratum, so that both sides have the same sum: a source of a language with OWN target features, or all others of that
+    language (lang and source if docs has them; null is like an empty name)."""
     if labels is None:
         return [0.0] * BUCKETS
-    marked = docs.select("doc_id", common.words_of("text").alias("__words"))
+    key = lambda *names: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names if c in docs.columns], F.lit(0))
+    marked = docs.select("doc_id", key("lang").alias("l"), key("lang", "source").alias("s"), common.words_of("text").alias("__words"))
     # target_docs bounds what is broadcast: one long each
     marked = marked.join(F.broadcast(target_ids(labels, target_docs).withColumn("__t", F.lit(1))), F.col("doc_id") == F.col("__id"), "left")
-    seen = marked.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(features()).alias("b"))
-    counts = seen.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    whole = Window.partitionBy()  # over BUCKETS rows at most
-    counts = counts.withColumn("raw_all", F.sum("raw").over(whole)).withColumn("target_all", F.sum("target").over(whole))
-    value = F.log((F.col("target") + 1) / (F.col("target_all") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("raw_all") + BUCKETS))
-    rows = counts.filter("target_all > 0").select("b", value.alias("r")).collect()  # BUCKETS rows at most
+    marked = marked.select("l", "s", F.coalesce("__t", F.lit(0)).alias("t"), "__words")
+    n = F.greatest(2 * F.size("__words").cast("long") - 1, F.lit(0))
+    sums = lambda raw, target: (F.sum(raw).alias("raw"), F.sum(target).alias("target"))
+    shares = marked.groupBy("l", "s").agg(*sums(n, n * F.col("t"))).withColumn("own", F.when(F.col("target") >= OWN, F.col("s")))
+    # no more rows with target features than target documents; whole numbers, so that sums don't depend on the order
+    shares = shares.groupBy("l", "own").agg(*sums("raw", "target")).filter("target > 0")
+    weights = common.written(shares.select("l", "own", F.round(F.col("target") / F.col("raw") * WEIGHT).cast("long").alias("w")), "weights")
+    own = weights.filter("own IS NOT NULL").select(F.col("own").alias("s"), F.col("w").alias("ws"))
+    rest = weights.filter("own IS NULL").select("l", F.col("w").alias("wl"))
+    marked = marked.join(F.broadcast(own), "s", "left").join(F.broadcast(rest), "l", "left").withColumn("w", F.coalesce("ws", "wl")).filter("w IS NOT NULL")
+    seen = marked.select("t", "w", F.explode(features()).alias("b"))
+    counts = seen.groupBy("b").agg((F.sum("w") / WEIGHT).alias("raw"), F.sum("t").alias("target"))
+    # both sums are the same, so the ratio of counts is that of probabilities
+    rows = counts.select("b", F.log((F.col("target") + 1) / (F.col("raw") + 1)).alias("r")).collect()  # BUCKETS rows at most
     out = [0.0] * BUCKETS
     for b, r in rows:
         out[b] = r
@@ -113,5 +129,5 @@ COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir).select("doc_id", "text")
+    docs = common.table(spark, sf_dir).select("doc_id", "lang", "source", "text")
     return judged(docs, labels_of(spark, sf_dir)).select(*COLUMNS)

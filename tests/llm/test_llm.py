@@ -246,3 +246,19 @@ def test_near_duplicates_rounds(spark):
     judged, labels = near_dup.linked(docs, classes, placed, None, 4, 80)
     assert {bytes(r.c) for r in labels.collect()} == {b"a", b"b"}
     assert judged.count() == 6
+
+
+def test_quality_shares(spark):
+    """Clean documents of a language, or of a source with its own words, that the target has less of than the corpus stay."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(600):
+        lang, source = ("de", "s0") if i % 4 == 0 else ("en", "s1") if i % 4 == 1 else ("en", "s0")
+        text = " ".join(f"{lang}{source}{rng.randrange(9)}" for _ in range(200))
+        junk = i % 40 in (3, 8)
+        rows.append((i, " ".join(f"{lang}{source}{rng.randrange(9)} #{rng.randrange(9)}" for _ in range(100)) if junk else text, lang, source, junk))
+        if not junk and (i % 4 > 1 or i % 20 < 2):
+            labels.append((i, 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    out = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert all((r.llr >= quality.THRESHOLD) != r.junk for r in out)  # some repeat too much for the base rules
