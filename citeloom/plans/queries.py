@@ -380,7 +380,7 @@ def tei_extraction(spark, sf_dir):
     """Articles built from documents: a section with two pointers and a foot note, through the whole extractor."""
     from citeloom.sources import tei
 
-    safe = F.regexp_replace(F.substring(F.regexp_replace("text", r"[<&>]", " "), 1, 400), "[\\x00-\\x08\\x0b-\\x1f]", " ")
+    safe = F.regexp_replace(F.regexp_replace("text", r"[<&>]", " "), r"[\x00-\x08\x0b-\x1f\x{FFFE}\x{FFFF}]", " ")
     xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head n="1.">Introduction</head><p>'), safe, F.lit('<ref type="bibr" target="#b0">(A, 2001)</ref> and <ref type="bibr" target="#b1">(B, 2002)</ref>.</p></div></body></text></TEI>'))
     units, refs, _ = tei.shredded(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), xml.alias("xml")))
     return citations.from_tei(units, refs)

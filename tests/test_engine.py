@@ -90,3 +90,14 @@ def test_entry_point():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tei_whole_text(spark, tmp_path):
+    import __spark_entry__
+
+    text = " ".join(f"Sentence {i} has some words." for i in range(300)) + " The last one cites"
+    rows = [(1, "en", "s", text), (2, "en", "s", "a < b & c\uffff ends"), (3, "en", "s", "")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["tei_extraction"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.REFERENCE) for r in got} == {(d, ref) for d in "123" for ref in ("(A, 2001)", "(B, 2002)")}
+    assert all("The last one cites" in r.CITATION for r in got if r.doc_id == "1")
