@@ -1,3 +1,4 @@
+import collections
 import io
 import tarfile
 import zipfile
@@ -101,3 +102,21 @@ def test_tei_whole_text(spark, tmp_path):
     got = __spark_entry__.queries()["tei_extraction"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.REFERENCE) for r in got} == {(d, ref) for d in "123" for ref in ("(A, 2001)", "(B, 2002)")}
     assert all("The last one cites" in r.CITATION for r in got if r.doc_id == "1")
+
+
+def test_eval_whole(spark, tmp_path):
+    """Documents of all ids are matched; by brute force, sentence for sentence."""
+    import __spark_entry__
+
+    rows = [(d, "en" if d % 2 else "fr", "s", f"One of {d}. Two of {d % 5}. Three here. Four of {d}. Five of {d}.") for d in range(1, 14)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = __spark_entry__.queries()["eval_exact_match_whole"](spark, str(tmp_path)).collect()
+    truth, pred = collections.Counter(), collections.Counter()
+    for d, lang, _, text in rows:
+        for k, s in enumerate(x.strip(" .") for x in text.split(".") if x.strip(" .")):
+            truth[lang, s.lower()] += 1
+            pred[lang, s.lower() + (" x" if k % 4 == 0 else "")] += 1
+    matches = sum(min(n, pred[k]) for k, n in truth.items())
+    assert collections.Counter(r.kind for r in got) == {"match": matches, "unmatched_pred": 65 - matches, "unmatched_gt": 65 - matches}
+    total = [r for r in __spark_entry__.queries()["eval_micro_total_whole"](spark, str(tmp_path)).collect() if r.total_gt == 65]
+    assert [(r.matches, r.total_pred) for r in total] == [(matches, 65)]
