@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after `.`, `!` or `?` before white space, or at a line feed; the white space after it belongs to it. At
-every sentence a run begins: RUN sentences, and more while they have fewer than RUN_WORDS words in all (three one-word
-sentences in a row repeat by chance). Runs are hashed to 128 bits over their sentences without outer white space, and
+A sentence ends after `.`, `!`, `?` or the like of another script before white space, after an ideographic or fullwidth
+mark, or at a line feed; the white space after it belongs to it. At every sentence a run begins: RUN sentences, and more
+while they have fewer than RUN_WORDS words in all (two one-word sentences in a row repeat by chance); or one sentence, if it
+alone has more than LONG words. Where words aren't set apart, CHARS characters count as one. Runs are hashed to 128 bits over their sentences without outer white space, and
 joined globally; of each repeated run the first by (doc_id, hash of the text, place) stays, and every sentence that any
 other one covers goes.
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUN, RUN_WORDS = 3, 12
-BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
+RUN, RUN_WORDS, LONG, CHARS = 2, 12, 50, 12
+BREAK = re.compile(r"(?<=[.!?\u037e\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4])\s+|(?<=[\u3002\uff01\uff0e\uff1f\uff61])\s*|\n\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -46,15 +47,16 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str, run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, hash) of each run of a text."""
     parts = [text[a:b].strip() for a, b in sentences(text)]
-    sizes = [len(common.WORDS.findall(p)) for p in parts]
+    sizes = [max(len(common.WORDS.findall(p)), len(p) // CHARS) for p in parts]
     out, end, words = [], 0, 0
     for at in range(len(parts)):
+        if sizes[at] > LONG:
+            out.append((at, 1, xxhash.xxh3_128_digest(parts[at])))
         while end < len(parts) and (end - at < run or words < run_words):
             words += sizes[end]
             end += 1
-        if end - at < run or words < run_words:
-            break
-        out.append((at, end - at, xxhash.xxh3_128_digest("\x1f".join(parts[at:end]))))
+        if end - at >= run and words >= run_words:
+            out.append((at, end - at, xxhash.xxh3_128_digest("\x1f".join(parts[at:end]))))
         words -= sizes[at]
     return out
 

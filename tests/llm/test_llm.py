@@ -262,3 +262,18 @@ def test_quality_shares(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
     out = quality.judged(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     assert all((r.llr >= quality.THRESHOLD) != r.junk for r in out)  # some repeat too much for the base rules
+
+
+def test_spans_short_runs(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    two, one = f"{say(30)}. {say(30)}.", f"{say(60)}."
+    far = "".join("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(90)) + "\u3002" for _ in range(2))
+    rows = []
+    for i in range(6):
+        mark = "\u3002" if i > 3 else ". "
+        rows.append((i, f"{say(8)}{mark}{(two, one, far)[i // 2]}{'' if i > 3 else ' '}{say(9)}"))
+    got = {r.doc_id: r for r in spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, part in ((1, two), (3, one), (5, far)):
+        assert got[i - 1].text == rows[i - 1][1] and part in rows[i][1]
+        assert got[i]["__removed"] == (1 if part == one else 2) and part[:20] not in got[i].text
