@@ -381,6 +381,12 @@ def set_difference(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id").exceptAll(documents(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id")).distinct()
 
 
+@query()
+def unlabelled_documents(spark, sf_dir):
+    """set_difference of whole tables."""
+    return documents(spark, sf_dir).select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id")).distinct()
+
+
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled, CASE WHEN l.quality = 1 THEN 'good' WHEN l.quality = 0 THEN 'bad' ELSE 'none' END AS bucket FROM documents d LEFT JOIN labels l USING (doc_id)")
 def document_buckets(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").withColumn("labelled", F.lit(True))

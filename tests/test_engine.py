@@ -120,3 +120,12 @@ def test_eval_whole(spark, tmp_path):
     assert collections.Counter(r.kind for r in got) == {"match": matches, "unmatched_pred": 65 - matches, "unmatched_gt": 65 - matches}
     total = [r for r in __spark_entry__.queries()["eval_micro_total_whole"](spark, str(tmp_path)).collect() if r.total_gt == 65]
     assert [(r.matches, r.total_pred) for r in total] == [(matches, 65)]
+
+
+def test_unlabelled_documents(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([(d, "en", "s", "t") for d in (1, 2, 3, 4, 5, 5, None)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2,), (3,), (9,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = __spark_entry__.queries()["unlabelled_documents"](spark, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in got) == {1: 1, 4: 1, 5: 1, None: 1}
