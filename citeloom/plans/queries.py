@@ -357,10 +357,20 @@ def two_hop_cited(spark, sf_dir):
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "o_custkey", "p_name")
 
 
+def _citation_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _contexts(spark, sf_dir).withColumns({"REFERENCE": F.lit("R"), "target": F.when(F.col("cit_no") % 4 != 0, F.concat(F.lit("b"), (F.col("cit_no") % 3).cast("string")))})
+    return graph.citation_graph(rows)
+
+
 @query()
 def citation_graph(spark, sf_dir):
-    rows = _contexts(spark, sf_dir).withColumns({"REFERENCE": F.lit("R"), "target": F.when(F.col("cit_no") % 4 != 0, F.concat(F.lit("b"), (F.col("cit_no") % 3).cast("string")))})
-    return graph.citation_graph(rows)[1]
+    return _citation_graph(spark, sf_dir)[1]
+
+
+@query()
+def citation_entities(spark, sf_dir):
+    """The entities that citation_graph's edges join."""
+    return _citation_graph(spark, sf_dir)[0]
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN date_trunc('month', o_orderdate)::DATE ELSE date_trunc('year', o_orderdate)::DATE END::VARCHAR AS published FROM orders""")

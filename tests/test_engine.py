@@ -129,3 +129,13 @@ def test_unlabelled_documents(spark, tmp_path):
     spark.createDataFrame([(2,), (3,), (9,)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
     got = __spark_entry__.queries()["unlabelled_documents"](spark, str(tmp_path)).collect()
     assert collections.Counter(r.doc_id for r in got) == {1: 1, 4: 1, 5: 1, None: 1}
+
+
+def test_citation_entities(spark):
+    import __spark_entry__
+
+    run = __spark_entry__.queries()
+    edges = run["citation_graph"](spark, "/root/testdata/sf0.001").select("src", "dst").collect()
+    entities = run["citation_entities"](spark, "/root/testdata/sf0.001").collect()
+    assert {x for r in edges for x in r} <= {r.uri for r in entities}
+    assert {"br", "be", "section", "sentence", "rp", "ci"} == {r.kind for r in entities}
