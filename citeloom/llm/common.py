@@ -45,24 +45,32 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are written inside leave no shuffle files: what is written is all that stays of them."""
+    clean = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, clean)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder: computed once, lineage cut, there after an executor is lost."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    clean = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # what is written is all that stays of the query
-    try:
+    with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, clean)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table of written() that no later query reads."""
-    _delete(df.sparkSession, _paths.pop(id(df)))
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later query reads."""
+    for df in tables:
+        _delete(df.sparkSession, _paths.pop(id(df)))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

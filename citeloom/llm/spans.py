@@ -1,11 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after `.`, `!`, `?` or the like of another script before white space, after an ideographic or fullwidth
-mark, or at a line feed; the white space after it belongs to it. At every sentence a run begins: RUN sentences, and more
-while they have fewer than RUN_WORDS words in all (two one-word sentences in a row repeat by chance); or one sentence, if it
-alone has more than LONG words. Where words aren't set apart, CHARS characters count as one. Runs are hashed to 128 bits over their sentences without outer white space, and
-joined globally; of each repeated run the first by (doc_id, hash of the text, place) stays, and every sentence that any
-other one covers goes.
+A sentence here is a clause: it ends after one of `. ! ? , ; :` or the like of another script before white space, after an
+ideographic or fullwidth mark, or at a line feed; the white space after it belongs to it. One of more than MOST words is
+cut after each MOST of them, so that a passage without marks, or joined to other text at its ends, has whole sentences too.
+At every sentence a run begins: RUN sentences, and more while they have fewer than RUN_WORDS words in all (short ones in a
+row repeat by chance). Where words aren't set apart, CHARS characters count as one. Runs are hashed to 128 bits over their
+sentences without outer white space, and joined globally; of each repeated run the first by (doc_id, hash of the text,
+place) stays, and every sentence that any other one covers goes. So what of a repeat lies in a sentence that is other text
+in part stays, up to MOST words at each end.
 
 Sums and firsts of runs are formed before the shuffle, and written; the join back is one against many, so a run that a
 third of all documents share is split by AQE's skew join.
@@ -25,20 +27,35 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUN, RUN_WORDS, LONG, CHARS = 2, 12, 50, 12
-BREAK = re.compile(r"(?<=[.!?\u037e\u0589\u061f\u06d4\u0964\u0965\u104b\u1362\u17d4])\s+|(?<=[\u3002\uff01\uff0e\uff1f\uff61])\s*|\n\s*")
+RUN, RUN_WORDS, MOST, CHARS = 3, 24, 12, 12
+BREAK = re.compile(r"(?<=[.!?,;:\u037e\u0589\u060c\u061b\u061f\u06d4\u0964\u0965\u104b\u1362-\u1366\u17d4])\s+|(?<=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64])\s*|\n\s*")
+PART = re.compile(rf"(?:\S+\s*){{1,{MOST}}}")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence; together they are the whole text."""
     out, at = [], 0
+
+    def add(a: int, b: int) -> None:
+        if b - a > 2 * MOST and len(text[a:b].split(None, MOST)) > MOST:
+            if text[a].isspace():  # white space at the text's beginning
+                a0, a = a, a + len(text[a:b]) - len(text[a:b].lstrip())
+                parts = [(m.start(), m.end()) for m in PART.finditer(text, a, b)]
+                parts[0] = (a0, parts[0][1])
+                out.extend(parts)
+            else:
+                out.extend((m.start(), m.end()) for m in PART.finditer(text, a, b))
+        else:
+            out.append((a, b))
+
     for m in BREAK.finditer(text):
-        if text[at : m.end()].strip():
-            out.append((at, m.end()))
-            at = m.end()
+        end = m.end()
+        if not text[at:end].isspace() and end > at:
+            add(at, end)
+            at = end
     if at < len(text):
-        if text[at:].strip() or not out:
-            out.append((at, len(text)))
+        if not out or not text[at:].isspace():
+            add(at, len(text))
         else:
             out[-1] = (out[-1][0], len(text))
     return out
@@ -47,16 +64,15 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str, run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, hash) of each run of a text."""
     parts = [text[a:b].strip() for a, b in sentences(text)]
-    sizes = [max(len(common.WORDS.findall(p)), len(p) // CHARS) for p in parts]
+    sizes = [max(len(p.split()), len(p) // CHARS) for p in parts]
+    names = [xxhash.xxh3_128_digest(p) for p in parts]
     out, end, words = [], 0, 0
     for at in range(len(parts)):
-        if sizes[at] > LONG:
-            out.append((at, 1, xxhash.xxh3_128_digest(parts[at])))
         while end < len(parts) and (end - at < run or words < run_words):
             words += sizes[end]
             end += 1
         if end - at >= run and words >= run_words:
-            out.append((at, end - at, xxhash.xxh3_128_digest("\x1f".join(parts[at:end]))))
+            out.append((at, end - at, xxhash.xxh3_128_digest(b"".join(names[at:end]))))
         words -= sizes[at]
     return out
 
@@ -68,7 +84,7 @@ def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
 
 
 def repeated(docs: DataFrame, run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
-    """d, tie, covered (array of at, n): the runs to remove, by document."""
+    """d, tie, covered (array of at, n): the runs to remove, by document; a written table."""
 
     def rows(cols):
         for d, tie, text in zip(cols["d"], cols["tie"], cols["text"]):
@@ -81,12 +97,14 @@ def repeated(docs: DataFrame, run: int = RUN, run_words: int = RUN_WORDS) -> Dat
     firsts = common.written(firsts.select(F.col("h").alias("fh"), "first"), "spans-first")
     others = found.join(firsts, F.col("h") == F.col("fh")).filter(~F.struct("d", "tie", "at").eqNullSafe(F.col("first")))
     # runs of equal rows (same doc_id and text) meet here; a set of them is wanted
-    return others.groupBy("d", "tie").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
+    out = common.written(others.groupBy("d", "tie").agg(F.collect_set(F.struct("at", "n")).alias("covered")), "spans-gone")
+    common.dropped(found, firsts)
+    return out
 
 
 def deduplicated(docs: DataFrame, run: int = RUN, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with text cut, plus __removed (sentences removed)."""
-    gone = common.written(repeated(docs, run, run_words), "spans-gone").withColumnsRenamed({"d": "__d", "tie": "__tie"})
+    gone = repeated(docs, run, run_words).withColumnsRenamed({"d": "__d", "tie": "__tie", "covered": "__covered"})
     both = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__tie")), "left").drop("__d", "__tie")
 
     def cut(cols):
@@ -95,7 +113,7 @@ def deduplicated(docs: DataFrame, run: int = RUN, run_words: int = RUN_WORDS) ->
 
     other = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in other)
-    out = common.mapped(both.select(*other, "text", "covered"), f"{kinds}{', ' if kinds else ''}text string, __removed int", cut, 64)
+    out = common.mapped(both.select(*other, "text", "__covered"), f"{kinds}{', ' if kinds else ''}text string, __removed int", cut, 64)
     return out.select(*docs.columns, "__removed")
 
 
