@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, BINS, BITS, TRIES = 5, 512, 4, 4096
-RANGE_BYTES = 4 << 20
+RANGE_BYTES, MOST_RANGES = 4 << 20, 20_000
 MEMO = 300_000
 #: Odd multipliers, one for each word of a shingle.
 FACTORS = np.array([xxhash.xxh64_intdigest(b"word", i) | 1 for i in range(SHINGLE)], np.uint64)
@@ -63,18 +63,20 @@ def shingle_hashes(words: list[str], size: int = SHINGLE, factors: np.ndarray =
     k = min(n, size)
     if not n:
         return np.zeros(0, np.uint64)
-    total = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        total += mixed(w[i : n - k + 1 + i] + np.uint64(i)) * factors[i]
+    total = w[: n - k + 1] * factors[0] + np.uint64(k)
+    for i in range(1, k):
+        total += w[i : n - k + 1 + i] * factors[i]
     return mixed(total)
 
 
 @functools.cache
-def _borrow() -> np.ndarray:
-    """Row j: the bin that each bin looks at in its j-th try."""
-    i = np.arange(BINS, dtype=np.uint64)
-    j = np.arange(TRIES, dtype=np.uint64)[:, None]
-    return (mixed(mixed(i + np.uint64(1)) + j * np.uint64(0xA0761D6478BD642F)) % np.uint64(BINS)).astype(np.int16)
+def _borrow() -> list[np.ndarray]:
+    """Row i, column j: the bin that bin i looks at in its j-th try; the columns in batches that grow."""
+    i = np.arange(BINS, dtype=np.uint64)[:, None]
+    j = np.arange(TRIES, dtype=np.uint64)
+    tries = (mixed(mixed(i + np.uint64(1)) + j * np.uint64(0xA0761D6478BD642F)) % np.uint64(BINS)).astype(np.int16)
+    ends = [0, 4, 16, 64, 256, 1024, TRIES]
+    return [np.ascontiguousarray(tries[:, a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def bins(words: list[str]) -> np.ndarray | None:
@@ -91,21 +93,19 @@ def bins(words: list[str]) -> np.ndarray | None:
     least = np.zeros(BINS, np.uint64)
     least[which[first]] = hashes[first]
     empty = np.flatnonzero(~full)
-    tries = _borrow()
-    for j in range(16):
+    for tries in _borrow():
         if not len(empty):
             break
-        found = full[tries[j, empty]]
-        least[empty[found]] = least[tries[j, empty[found]]]
+        look = tries[empty]
+        hit = full[look]
+        row = hit.argmax(1)
+        at = np.arange(len(empty))
+        found = hit[at, row]
+        least[empty[found]] = least[look[at, row][found]]
         empty = empty[~found]
-    if len(empty):
-        hit = full[tries[:, empty]]
-        row = hit.argmax(0)
-        source = tries[row, empty].astype(np.int64)
-        lone = ~hit.any(0)  # no try met a full bin: take the next full one, around the end
+    if len(empty):  # no try met a full bin: take the next full one, around the end
         at = np.flatnonzero(full)
-        source[lone] = at[np.searchsorted(at, empty[lone]) % len(at)]
-        least[empty] = least[source]
+        least[empty] = least[at[np.searchsorted(at, empty) % len(at)]]
     # bits of hash and bin together: bins that borrowed one hash agree by chance independently of each other
     return (mixed(least + np.arange(BINS, dtype=np.uint64)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
@@ -146,7 +146,7 @@ def beside_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     after the last one stands, with extra > 0, what follows it in the next span."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = common.pieces(common.total_bytes(docs), range_bytes)
+    n = min(common.pieces(common.total_bytes(docs), range_bytes), MOST_RANGES)  # a range is streamed, whatever its size
     found = docs.agg(F.min("k"), F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()
     least, splits = found[0], np.array(sorted({x for x in (found[1] or []) if n > 1 and x > found[0]}), np.int64)
     last = len(splits)
@@ -167,7 +167,7 @@ def beside_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(np.full(len(rows), extra), pa.int32()), got.column("doc_id"), got.column("k"), got.column("text")], names=["span", "extra", "doc_id", "k", "text"])
 
     dealt = docs.mapInArrow(deal, "span int, extra int, doc_id long, k long, text string").withColumn("tie", F.xxhash64("text"))
-    return dealt.repartition(n, "span").sortWithinPartitions("span", "extra", "k", "tie").select("span", "extra", "doc_id", "text")
+    return dealt.repartitionById(n, "span").sortWithinPartitions("span", "extra", "k", "tie").select("span", "extra", "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
