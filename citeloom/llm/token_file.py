@@ -17,12 +17,16 @@ length stays in one segment; an empty table gives an empty file set and no rows;
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 END = 0
-SEGMENT_IDS, SHARD_IDS = 1 << 18, 1 << 22
+SEGMENT_IDS, SHARD_IDS, SLICE = 1 << 18, 1 << 22, 1024
 #: Lengths less one of the four values of each control byte, and for each such length the bytes that are there.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 THERE = np.arange(4) <= np.arange(4)[:, None]
@@ -54,35 +58,131 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-@functools.lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    from tokenizers import Tokenizer
+#: A unit is white space and what follows it, up to the next white space or to such a mark behind a letter. Byte-level
+#: pretokenizers cut there too: whatever they match ends at both, and what begins there looks no further back.
+MARKS = ".,;:!?"
+#: White space outside ASCII, and what only some libraries take for it: texts with these are encoded whole.
+UNSURE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
+#: Units that a byte-level pretokenizer leaves whole.
+WHOLE = re.compile("\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+MEMO, MEMO_CHARS = 200_000, 64
+BLANK, LETTER = np.zeros(256, bool), np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: The characters that byte-level vocabularies write bytes with: printable ones as they are, the others from 256 on.
+PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b != 173]
+OTHERS = [b for b in range(256) if b not in PRINTED]
+AS_CHARS = "".join(chr(b if b in PRINTED else 256 + OTHERS.index(b)) for b in range(256))
+
+
+class _Memo(dict):
+    """The ids of units by the library; two generations of at most about MEMO units."""
+
+    def __init__(self, library, wide: str):
+        self.library, self.merged, self.packed = library, library.model.tokenize, "<%d" + {2: "H", 4: "I"}[np.dtype(wide).itemsize]
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.before.get(unit)
+        if ids is None:
+            if WHOLE(unit):
+                plain = unit if unit[0] != " " else AS_CHARS[32] + unit[1:]  # other ASCII characters here stand for themselves
+                found = [t.id for t in self.merged(plain if unit.isascii() else unit.encode().decode("latin-1").translate(AS_CHARS))]
+            else:
+                found = self.library.encode(unit, add_special_tokens=False).ids
+            ids = struct.pack(self.packed % len(found), *found)
+        if len(unit) <= MEMO_CHARS:
+            self[unit] = ids
+        return ids
+
+    def bounded(self) -> None:
+        if len(self) > MEMO:
+            self.before = dict(self)
+            self.clear()
+
+
+class Encoder:
+    """The tokenizer of a file; where that can't change the ids, it encodes each unit of the texts once and keeps them."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.wide = narrowest(self.library.get_vocab_size())
+        state = json.loads(self.library.to_str())
+        pre, added = state["pre_tokenizer"] or {}, state["added_tokens"]
+        self.by_unit = state["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_unit &= state["model"]["type"] == "BPE" and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+        inside = "".join(t["content"] for t in added)
+        self.mark = np.zeros(256, bool)
+        self.mark[[ord(m) for m in MARKS if m not in inside]] = True
+        self.memo = _Memo(self.library, self.wide)
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (no nulls) as little-endian numbers of the narrowest type."""
+        if not self.by_unit:
+            return [np.array(e.ids, self.wide).tobytes() for e in self.library.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or ends[-1] == ends[0]:
+            return [b""] * len(texts)
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        blank = BLANK[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = blank[1:] & ~blank[:-1]
+        letter = LETTER[raw]
+        letter[1:] |= (raw[:-1] >= 0xC4) & (raw[:-1] <= 0xC9) | (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        cut[1:-1] |= self.mark[raw[1:]] & letter[:-1]
+        for i in np.flatnonzero(pc.match_substring_regex(texts, UNSURE).to_numpy(zero_copy_only=False)):
+            cut[ends[i] + 1 : ends[i + 1]] = False
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        units = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        coded = pa.array([*map(self.memo.__getitem__, units.dictionary.to_pylist())], pa.large_binary()).take(units.indices)
+        self.memo.bounded()
+        size = np.frombuffer(coded.buffers()[1], np.int64)[coded.offset : coded.offset + len(coded) + 1]
+        data, to = coded.buffers()[2].to_pybytes(), size[np.searchsorted(at, ends)].tolist()
+        return [data[a:b] for a, b in zip(to, to[1:])]
+
+
+def narrowest(vocabulary: int) -> str:
+    """The type of ids below this number while they are on their way to the files."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-    return Tokenizer.from_file(path)
 
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, tie (hash of the text), n, ids (little-endian, the end id last) of each row."""
 
-    def rows(cols):
-        encoded = _tokenizer(path).encode_batch_fast([t or "" for t in cols["text"]], add_special_tokens=False)
-        for doc_id, tie, e in zip(cols["doc_id"], cols["tie"], encoded):
-            ids = np.array([*e.ids, END], "<u4")
-            yield doc_id, tie, len(ids), ids.tobytes()
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, tie (hash of the text), n, ids (of the narrowest type, the end id last) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        end = np.array([END], encode.wide).tobytes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                part = whole.slice(at, SLICE)
+                ids = [x + end for x in encode(part.column("text"))]
+                n = pa.array([len(x) // len(end) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), n, pa.array(ids, pa.binary())], names=["doc_id", "tie", "n", "ids"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return common.mapped(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), f"doc_id {key}, tie long, n long, ids binary", rows, 64)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {key}, tie long, n long, ids binary")
 
 
-def frequency_ranks(tokens: DataFrame) -> list[int]:
+def frequency_ranks(tokens: DataFrame, wide: str) -> list[int]:
     """The ids by falling count, then by id: at most as many as the vocabulary has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                add = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+            for at in range(0, batch.num_rows, 64):
+                add = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 64).to_pylist()), wide))
                 if len(add) > len(seen):
                     seen = np.pad(seen, (0, len(add) - len(seen)))
                 seen[: len(add)] += add
@@ -97,7 +197,9 @@ def write(docs: DataFrame, path: str, out_dir: str) -> None:
     """Tokenizes docs by the tokenizer file at path and writes the file set."""
     spark = docs.sparkSession
     tokens = common.written(tokenized(docs, path), "token-ids")
-    order = frequency_ranks(tokens)
+    wide = encoder(path).wide
+    width = np.dtype(wide).itemsize
+    order = frequency_ranks(tokens, wide)
     ranks = np.zeros(max(order, default=0) + 1, "<u4")
     ranks[order] = np.arange(len(order))
     sent = spark.sparkContext.broadcast(ranks)  # four bytes for each id of the vocabulary
@@ -110,9 +212,9 @@ def write(docs: DataFrame, path: str, out_dir: str) -> None:
 
         def flush() -> pa.RecordBatch:
             nonlocal segment, offset, held, size
-            values = np.concatenate([np.frombuffer(ids, "<u4") for _, ids in held])
+            values = np.frombuffer(b"".join(ids for _, ids in held), wide)
             control, data = pack(sent.value[values])
-            row = {"shard": [shard], "segment": [segment], "offset": [offset], "doc_ids": [[d for d, _ in held]], "lengths": [[len(ids) // 4 for _, ids in held]], "control": [control], "data": [data]}
+            row = {"shard": [shard], "segment": [segment], "offset": [offset], "doc_ids": [[d for d, _ in held]], "lengths": [[len(ids) // width for _, ids in held]], "control": [control], "data": [data]}
             segment, offset, held, size = segment + 1, offset + size, [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types)], names=[*row])
 
@@ -120,7 +222,7 @@ def write(docs: DataFrame, path: str, out_dir: str) -> None:
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(batch.schema.field("doc_id").type), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             for d, ids in zip(batch.column("doc_id"), batch.column("ids")):
                 held.append((d.as_py(), ids.as_py()))
-                size += len(held[-1][1]) // 4
+                size += len(held[-1][1]) // width
                 if size >= SEGMENT_IDS:
                     yield flush()
         if held:
@@ -128,7 +230,9 @@ def write(docs: DataFrame, path: str, out_dir: str) -> None:
 
     n = common.pieces(total, SHARD_IDS)
     ordered = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "ids")
-    ordered.mapInArrow(shards, f"shard int, segment int, offset long, doc_ids array<{key}>, lengths array<long>, control binary, data binary").write.parquet(f"{out_dir}/shards")
+    with common.shuffles_removed(spark):
+        ordered.mapInArrow(shards, f"shard int, segment int, offset long, doc_ids array<{key}>, lengths array<long>, control binary, data binary").write.parquet(f"{out_dir}/shards")
+    common.dropped(tokens)
     spark.createDataFrame([*enumerate(order)], "rank long, id long").coalesce(1).write.parquet(f"{out_dir}/vocab")
 
 
