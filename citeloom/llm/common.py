@@ -20,7 +20,6 @@ WORDS = re.compile(WORD)
 BLANKS = " \t\n\x0b\x0c\r"
 
 _written: list[tuple[SparkSession, str]] = []
-_paths: dict[int, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,14 +62,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
+    out.__dict__["_scratch"] = path
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() that no later query reads."""
     for df in tables:
-        _delete(df.sparkSession, _paths.pop(id(df)))
+        _delete(df.sparkSession, df.__dict__["_scratch"])
 
 
 def _delete(spark: SparkSession, path: str) -> None:

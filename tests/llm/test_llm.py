@@ -222,13 +222,13 @@ def test_near_duplicates_blocks(spark):
     dense = spark.createDataFrame([(7, bytearray(c)) for c in names.values()], "leaf long, c binary")
     known = spark.createDataFrame([(bytearray(c), bytearray(x)) for c, x in labels.items()], "c binary, label binary")
     leaves = collections.defaultdict(list)
-    for r in near_dup.blocks(dense, known).collect():
+    for r in near_dup.blocks(dense, known)[0].collect():
         leaves[r.leaf].append((bytes(r.c), r.side))
     met = {(min(a, b), max(a, b)) for at in leaves.values() for i, (a, x) in enumerate(at) for b, y in at[:i] if x != y or x == 0}
     all_names = sorted(names.values())
     assert {(a, b) for i, b in enumerate(all_names) for a in all_names[:i] if labels.get(a, a) != labels.get(b, b)} <= met
     assert max(map(len, leaves.values())) < 3 * near_dup.LEAF
-    assert near_dup.blocks(dense, known.unionByName(dense.join(known, "c", "left_anti").select("c", F.lit(bytearray(names[0])).alias("label"))).withColumn("label", F.lit(bytearray(names[0])))).count() == 0
+    assert near_dup.blocks(dense, known.unionByName(dense.join(known, "c", "left_anti").select("c", F.lit(bytearray(names[0])).alias("label"))).withColumn("label", F.lit(bytearray(names[0]))))[0].count() == 0
 
 
 def test_near_duplicates_rounds(spark):
@@ -236,9 +236,9 @@ def test_near_duplicates_rounds(spark):
     same = [f"w{i}" for i in range(60)]
     texts = [" ".join(same), " ".join([*same, "more"]), " ".join(f"y{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    # coordinates in which some differ from the others: of 256, a-c and b-d differ in 44, a-d, b-c and c-d in 46, a-b in 54
-    split = [(0,)] * 22 + [(1,)] * 22 + [(2,)] * 18 + [(3,)] * 18 + [(0, 2)] * 6 + [(0, 3)] * 4
-    sigs = [np.array([i in x for x in split] + [0] * (256 - len(split)), "<u2") for i in range(4)]
+    # coordinates in which some differ from the others: of 512, a-c and b-d differ in 88, a-d, b-c and c-d in 92, a-b in 108
+    split = [(0,)] * 44 + [(1,)] * 44 + [(2,)] * 36 + [(3,)] * 36 + [(0, 2)] * 12 + [(0, 3)] * 8
+    sigs = [np.array([i in x for x in split] + [0] * (512 - len(split)), np.uint8) for i in range(4)]
     ties = {r.doc_id: r.tie for r in docs.select("doc_id", F.xxhash64("text").alias("tie")).collect()}
     made = [(bytearray(b"abcd"[i : i + 1]), (i, ties[i]), 57, bytearray(sigs[i].tobytes())) for i in range(4)]
     classes = spark.createDataFrame(made, "c binary, rep struct<d: long, tie: long>, n long, sig binary")
