@@ -55,7 +55,7 @@ def cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """targets with copies (whole passes) and cut: rows with a hash below it are taken once more."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = targets.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    state = common.written(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")), "mix-state")
+    written = state = common.written(state.withColumn("prefix", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")), "mix-state")
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
         near = sizes.select(F.col("source").alias("s"), "size", F.shiftright("h", shift).alias("bucket"))
@@ -70,7 +70,9 @@ def cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         found = bars.filter(end).groupBy("s").agg(F.min_by(F.struct("bucket", "size", (F.col("below") + F.col("up_to") - F.col("size")).alias("start")), "bucket").alias("f"))
         state = state.drop("prefix", "below").join(found, F.col("source").eqNullSafe(F.col("s")), "left")
         state = state.select("source", "source_size", "target", "copies", "rest", F.col("f.bucket").alias("prefix"), F.coalesce("f.start", F.lit(0)).alias("below"), F.col("f.size").alias("last"))
-        state = common.written(state, "mix-state")  # a row a source; read more than once by the next level
+        before, state = written, common.written(state, "mix-state")  # a row a source; read more than once by the next level
+        written = state
+        common.dropped(before)
     nearer = F.col("below") + F.col("last") - F.col("rest") < F.col("rest") - F.col("below")
     cut = F.when(F.col("rest") <= 0, 0).otherwise(F.coalesce(F.col("prefix") + F.when(nearer, 1).otherwise(0), F.lit(0)))
     return state.select("source", "source_size", "target", "copies", cut.cast("long").alias("cut"))
@@ -88,9 +90,10 @@ def mix(docs: DataFrame, cap: float = 3.0) -> DataFrame:
 def mixed_rows(docs: DataFrame, cap: float = 3.0) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes them, with the columns of docs."""
     sizes = common.written(sized(docs), "mix-sizes")
-    plan = cuts(sizes, source_targets(sizes, cap)).select(F.col("source").alias("__source"), "copies", "cut")
+    plan = cuts(sizes, source_targets(sizes, cap)).select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("cut").alias("__cut"))
+    common.dropped(sizes)
     rows = docs.withColumn("__h", row_hash()).join(plan, docs["source"].eqNullSafe(F.col("__source")))
-    times = (F.col("copies") + (F.col("__h") < F.col("cut")).cast("long")).cast("int")
+    times = (F.col("__copies") + (F.col("__h") < F.col("__cut")).cast("long")).cast("int")
     rows = rows.withColumn("__n", times).filter("__n > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 

@@ -14,7 +14,7 @@ no more weights than target documents.
 
 Defined results: a null text has no words, fails the base rules and scores 0; repeated doc_ids are judged one row at a
 time (each counts as target if its id is in the sample); without labels or without target features all scores are 0, so
-the base rules alone decide; an empty table gives no rows; other columns are ignored.
+the base rules alone decide; an empty table gives no rows; other columns are ignored (names with __ before are the operator's own).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and __words."""
+    """docs with the base columns, each with __ before its name, and __words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("__words", common.words_of("text"))
     chars = F.length(F.translate(text, common.BLANKS, ""))
@@ -41,16 +41,16 @@ def base(docs: DataFrame) -> DataFrame:
     blank = F.lit(common.BLANKS.replace("\n", ""))
     out = out.withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: F.trim(x, blank) != ""))
     out = out.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "word_chars": chars.cast("long"),
-        "n_symbols": symbols.cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "__n_words": F.size("__words").cast("long"),
+        "__word_chars": chars.cast("long"),
+        "__n_symbols": symbols.cast("long"),
+        "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
     }).drop("__lines")
-    # Windows of three words, each as one long: the leading bits of its hash, then its position in the bits that n_words needs.
-    out = out.withColumn("__low", F.expr("cast(pow(2, ceil(log2(n_words + 1))) as bigint) - 1"))
+    # Windows of three words, each as one long: the leading bits of its hash, then its position in the bits that __n_words needs.
+    out = out.withColumn("__low", F.expr("cast(pow(2, ceil(log2(__n_words + 1))) as bigint) - 1"))
     out = out.withColumn("__spots", F.expr("""
-        CASE WHEN n_words < 4 THEN cast(array() AS array<bigint>)
-             ELSE sort_array(transform(sequence(0, cast(n_words AS int) - 3),
+        CASE WHEN __n_words < 4 THEN cast(array() AS array<bigint>)
+             ELSE sort_array(transform(sequence(0, cast(__n_words AS int) - 3),
                                        i -> (xxhash64(__words[i], __words[i + 1], __words[i + 2]) & ~__low) | i)) END"""))
     # A window occurs twice if its neighbour in this order has the same hash; then the starts, in text order.
     out = out.withColumn("__twice", F.expr("""
@@ -60,8 +60,8 @@ def base(docs: DataFrame) -> DataFrame:
     covered = F.expr("""
         aggregate(__twice, named_struct('n', 0L, 'end', 0L),
                   (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.end), 'end', p + 3), a -> a.n)""")
-    out = out.withColumn("n_repeat_words", covered).drop("__twice")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = out.withColumn("__n_repeat_words", covered).drop("__twice")
+    return out.withColumn("__base_failed", (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words")))
 
 
 def features(words: str = "__words") -> Column:
@@ -108,26 +108,37 @@ def ratios(docs: DataFrame, labels: DataFrame | None, target_docs: int = TARGET_
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
-    """docs with the base columns, llr (per feature) and kept."""
+def marked(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """docs with the base columns, llr (per feature) and kept, each with __ before its name."""
     numbers = ",".join(f"{x:.9g}" for x in ratios(docs, labels, target_docs))
     weights = F.split(F.lit(numbers), ",").cast("array<double>")  # folded to a constant
     out = base(docs).withColumn("__features", features()).withColumn("__weights", weights)
     total = F.expr("aggregate(__features, 0D, (a, b) -> a + __weights[b])")
-    out = out.withColumn("llr", F.when(F.size("__features") > 0, F.round(total / F.size("__features"), 9)).otherwise(0.0))
+    out = out.withColumn("__llr", F.when(F.size("__features") > 0, F.round(total / F.size("__features"), 9)).otherwise(0.0))
     # always true, but not deterministic to the optimizer: a later filter on kept stays above instead of repeating all of this
     above = F.spark_partition_id() >= 0
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & above)
+    out = out.withColumn("__kept", ~F.col("__base_failed") & (F.col("__llr") >= threshold) & above)
     return out.drop("__features", "__weights", "__words")
 
 
+def judged(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """docs with the base columns, llr and kept, in place of columns of docs that have these names."""
+    rest = [c for c in docs.columns if c not in ADDED]
+    return marked(docs, labels, threshold, target_docs).select(*rest, *[F.col(f"__{c}").alias(c) for c in ADDED])
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """The kept rows of docs as they are."""
+    return marked(docs, labels, threshold, target_docs).filter("__kept").select(*docs.columns)
+
+
 def labels_of(spark, sf_dir: str) -> DataFrame:
     return common.table(spark, sf_dir, "labels")
 
 
-COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir).select("doc_id", "lang", "source", "text")
-    return judged(docs, labels_of(spark, sf_dir)).select(*COLUMNS)
+    return judged(docs, labels_of(spark, sf_dir)).select("doc_id", *ADDED)
