@@ -7,7 +7,8 @@ ORACLE_SQL is None: the near-dedup components and the sentence spans and BPE mer
 stages against plain versions.
 
 Defined results are those of the operators; besides, of rows that are equal in doc_id and text the near-dedup keeps one, a
-text of which nothing is left stays as an empty text, and n_chars (if documents has it) follows the text.
+text of which nothing is left stays as an empty text, and n_chars (if documents has it) follows the text. Columns of documents
+may have any names but those with __ before.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judged(docs, quality.labels_of(spark, sf_dir)).filter("kept").select(*docs.columns)
+    return quality.kept_rows(docs, quality.labels_of(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir)
+    docs, before = common.table(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), "stage")
+        common.dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
