@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions import fixed
 from citeloom.functions import text as T
+from citeloom.operators.corpus import abbreviated
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -20,9 +22,9 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_no", "block")).withColumn("block_no", F.col("block_no").cast("long"))
 
 
-def leading_pointers_moved(sents: DataFrame) -> DataFrame:
+def leading_pointers_moved(sents: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A run of pointers at a sentence's start goes to the sentence before, if that ends in a full stop."""
-    w = Window.partitionBy("doc_id").orderBy("sent_no")
+    w = Window.partitionBy(*keys).orderBy("sent_no")
     run = F.regexp_extract("sentence", r"^((?:cit\d+\s*)+)", 1)
     out = sents.withColumn("__move", (run != "") & F.coalesce(F.lag("sentence").over(w).endswith("."), F.lit(False)))
     out = out.withColumn("__taken", F.when(F.lead("__move").over(w), F.lead(F.trim(run)).over(w)))
@@ -31,9 +33,11 @@ def leading_pointers_moved(sents: DataFrame) -> DataFrame:
 
 
 def superscript_documents(refs: DataFrame) -> DataFrame:
-    """doc_id, superscript: more than half of the pointers are numbers and more than a fifth follow a full stop."""
+    """doc_id, superscript: more than half of the pointers are numbers, but for marks around them, and more than a fifth
+    follow a full stop (F3)."""
+    number = F.regexp_replace("ref_text", "[^a-zA-Z0-9]", "").rlike("^[0-9]+$")
     return refs.groupBy("doc_id").agg(
-        ((F.count_if(F.col("ref_text").rlike("^[0-9]+$")) > F.count("*") / 2) & (F.count_if("after_stop") > F.count("*") / 5)).alias("superscript")
+        ((F.count_if(number) > F.count("*") / 2) & (F.count_if("after_stop") > F.count("*") / 5)).alias("superscript")
     )
 
 
@@ -50,18 +54,17 @@ def headings_selected(heads: DataFrame, order: str = "unit_no") -> DataFrame:
     """heads (doc_id, order, head, n) with selected and title.
 
     Where at least half of the heads carry a number attribute, those with a top-level number are sections, and a head
-    without one between two numbered ones isn't; where at least half begin with roman numbers, those are; else all.
+    without one between two numbered ones isn't; else all are. Roman numbers go from the titles like others.
     """
     per_doc = Window.partitionBy("doc_id")
     w = Window.partitionBy("doc_id").orderBy(order)
-    roman = F.col("head").rlike(r"^[IVXLC]+[.)]\s")
-    out = heads.withColumn("__n", F.col("n").isNotNull()).withColumn("__roman", F.coalesce(roman, F.lit(False)))
+    out = heads.withColumn("__n", F.col("n").isNotNull())
     half = F.count("*").over(per_doc) / 2
-    out = out.withColumn("__by_n", F.sum(F.col("__n").cast("int")).over(per_doc) >= half).withColumn("__by_roman", F.sum(F.col("__roman").cast("int")).over(per_doc) >= half)
+    out = out.withColumn("__by_n", F.sum(F.col("__n").cast("int")).over(per_doc) >= half)
     between = F.coalesce(F.lag("__n").over(w), F.lit(False)) & F.coalesce(F.lead("__n").over(w), F.lit(False))
-    chosen = F.when(F.col("__by_n"), F.when(F.col("__n"), F.col("n").rlike(r"^\d+\.?$")).otherwise(~between)).when(F.col("__by_roman"), F.col("__roman")).otherwise(F.lit(True))
+    chosen = F.when(F.col("__by_n"), F.when(F.col("__n"), F.col("n").rlike(r"^\d+\.?$")).otherwise(~between)).otherwise(F.lit(True))
     out = out.withColumn("selected", chosen & F.col("head").isNotNull())
-    return out.withColumn("title", F.when(F.col("selected"), T.title_cleaned(T.numbering_dropped(F.col("head"))))).drop("__n", "__roman", "__by_n", "__by_roman")
+    return out.withColumn("title", F.when(F.col("selected"), T.title_cleaned(T.numbering_dropped(F.col("head"))))).drop("__n", "__by_n")
 
 
 def contexts(sents: DataFrame, refs: DataFrame, kind: str = "text") -> DataFrame:
@@ -82,8 +85,25 @@ def renumbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
+    """The first row of each key (A9, W7): a least value each, so that copies are merged before they are moved."""
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    least = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("__least"))
+    return least.select(*[F.col(c) if c in keys else F.col(f"__least.{c}") for c in rows.columns])
+
+
+def superscripts_moved(sents: DataFrame, refs: DataFrame) -> DataFrame:
+    """Sentences (doc_id, part, unit_no, sent_no, sentence) of articles whose pointers are superscript numbers, with pointers
+    that follow a full stop put back into the sentence they belong to (F3, F4)."""
+    w = Window.partitionBy("doc_id", "part", "unit_no").orderBy("sent_no")
+    lead = F.regexp_extract("sentence", r"^((?:cit\d+\s*)+)", 1)
+    before = F.lag("sentence").over(w)
+    stop = before.endswith(".") & ~abbreviated(before, fixed.ABBREVIATIONS)
+    after = sents.withColumn("__stop", F.coalesce(stop, F.lit(False))).filter("__stop").select("doc_id", F.explode(T.pointers(lead)).alias("citkey")).distinct()
+    marked = refs.join(after.withColumn("after_stop", F.lit(True)), ["doc_id", "citkey"], "left").withColumn("after_stop", F.coalesce("after_stop", F.lit(False)))
+    some = superscript_documents(marked).filter("superscript").select("doc_id", F.lit(True).alias("__super"))
+    out = sents.join(some, "doc_id", "left")
+    moved = leading_pointers_moved(out.filter("__super").drop("__super"), ("doc_id", "part", "unit_no"))
+    return out.filter("__super IS NULL").drop("__super").unionByName(moved)
 
 
 def from_tei(units: DataFrame, refs: DataFrame) -> DataFrame:
@@ -99,6 +119,7 @@ def from_tei(units: DataFrame, refs: DataFrame) -> DataFrame:
     parts = parts.unionByName(of_notes.select("doc_id", F.lit(1).alias("part"), "unit_no", "section", "text")).unionByName(figures.select("doc_id", F.lit(2).alias("part"), "unit_no", "section", "text"))
     safe = parts.withColumn("text", T.cleaned(F.col("text"))).withColumn("formulas", T.formulas(F.col("text"))).withColumn("text", T.formulas_protected(F.col("text")))
     found = sentences(safe).withColumn("sentence", F.trim(T.formulas_restored(F.col("sentence"), F.col("formulas")))).drop("formulas")
+    found = superscripts_moved(found, refs)
     seq = F.struct("part", "unit_no", "sent_no")
     hits = contexts(found.withColumn("seq", seq), refs)
     known = refs.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("citkey", "ref_text"))).alias("names"))

@@ -28,22 +28,38 @@ def citation_graph(cites: DataFrame) -> tuple[DataFrame, DataFrame]:
         "rp": uri("rp", F.col("doc_id"), F.col("cit_id")), "ci": uri("ci", F.col("doc_id"), F.col("cit_id")),
     })
 
-    def entity(kind: str, name: str, content: Column) -> DataFrame:
-        return rows.filter(F.col(name).isNotNull()).select("doc_id", F.col(name).alias("uri"), F.lit(kind).alias("kind"), content.alias("content")).distinct()
-
-    def edge(src: str, predicate: str, dst: str) -> DataFrame:
-        return rows.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select("doc_id", F.col(src).alias("src"), F.lit(predicate).alias("predicate"), F.col(dst).alias("dst")).distinct()
-
     none = F.lit(None).cast("string")
-    entities = entity("br", "main", none).unionByName(entity("br", "cited", none)).unionByName(entity("be", "be", F.col("target")))
-    for kind, name, content in (("section", "section", F.col("SECTION")), ("sentence", "sentence", F.col("CITATION")), ("rp", "rp", F.col("REFERENCE")), ("ci", "ci", F.col("cit_id"))):
-        entities = entities.unionByName(entity(kind, name, content))
-    edges = edge("main", "cites", "cited")
-    for src, predicate, dst in (("be", "references", "cited"), ("section", "contains", "sentence"), ("sentence", "isContextOf", "rp"), ("rp", "denotes", "be"), ("ci", "hasCitingEntity", "main"), ("ci", "hasCitedEntity", "cited")):
-        edges = edges.unionByName(edge(src, predicate, dst))
+    kinds = (("br", "main", none), ("br", "cited", none), ("be", "be", F.col("target")), ("section", "section", F.col("SECTION")), ("sentence", "sentence", F.col("CITATION")), ("rp", "rp", F.col("REFERENCE")), ("ci", "ci", F.col("cit_id")))
+    entities = F.array(*[F.struct(F.col(name).alias("uri"), F.lit(kind).alias("kind"), content.alias("content")) for kind, name, content in kinds])
+    links = (("main", "cites", "cited"), ("be", "references", "cited"), ("section", "contains", "sentence"), ("sentence", "isContextOf", "rp"), ("rp", "denotes", "be"), ("ci", "hasCitingEntity", "main"), ("ci", "hasCitedEntity", "cited"))
+    edges = F.array(*[F.struct(F.col(a).alias("src"), F.lit(p).alias("predicate"), F.col(b).alias("dst")) for a, p, b in links])
+    entities = rows.select("doc_id", F.explode(entities).alias("x")).select("doc_id", "x.*").filter("uri IS NOT NULL").distinct()
+    edges = rows.select("doc_id", F.explode(edges).alias("x")).select("doc_id", "x.*").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
     return entities.withColumn("type", F.when(F.col("kind") == "section", rhetorical_type(F.col("content")))), edges
 
 
-def n_triples(edges: DataFrame, base: str = "https://w3id.org/oc/cex/") -> DataFrame:
+#: fixed values: the vocabulary of each predicate
+VOCABULARY = {
+    "cites": "http://purl.org/spar/cito/", "hasCitingEntity": "http://purl.org/spar/cito/", "hasCitedEntity": "http://purl.org/spar/cito/",
+    "references": "http://purl.org/spar/biro/", "isContextOf": "http://purl.org/spar/c4o/", "denotes": "http://purl.org/spar/c4o/",
+    "contains": "http://www.essepuntato.it/2008/12/pattern#",
+}
+
+
+def predicate_name(predicate: Column) -> Column:
+    """A predicate in its own vocabulary."""
+    names = F.create_map(*[F.lit(x) for name, base in VOCABULARY.items() for x in (name, base + name)])
+    return F.element_at(names, predicate)
+
+
+def n_triples(edges: DataFrame, base: str = "https://example.org/") -> DataFrame:
     """value: one N-Triples line for each edge (K5)."""
-    return edges.select(F.concat(F.lit(f"<{base}"), "src", F.lit("> <http://purl.org/spar/cito/"), "predicate", F.lit(f"> <{base}"), "dst", F.lit("> .")).alias("value"))
+    return edges.select(F.concat(F.lit(f"<{base}"), "src", F.lit("> <"), predicate_name(F.col("predicate")), F.lit(f"> <{base}"), "dst", F.lit("> .")).alias("value"))
+
+
+def json_ld(edges: DataFrame, base: str = "https://example.org/") -> DataFrame:
+    """value: one JSON-LD object for each subject and predicate, targets in order (K5)."""
+    to = F.array_sort(F.collect_set(F.concat(F.lit(base), "dst")))
+    rows = edges.groupBy("src", "predicate").agg(F.transform(to, lambda x: F.create_map(F.lit("@id"), x)).alias("to"))
+    subject = F.to_json(F.struct(F.concat(F.lit(base), "src").alias("@id")))
+    return rows.select(F.concat(F.regexp_replace(subject, r"\}$", ""), F.lit(',"'), predicate_name(F.col("predicate")), F.lit('":'), F.to_json("to"), F.lit("}")).alias("value"))

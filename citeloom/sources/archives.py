@@ -59,6 +59,12 @@ def files(spark: SparkSession, path: str, wanted: tuple[str, ...] = (), recursiv
     return found.filter(~name.startswith(".")).select("path", "content", status.alias("status")).dropDuplicates(["path"])
 
 
+def uploads(found: DataFrame) -> DataFrame:
+    """Uploaded files (path, content) with status: unsupported if their extension isn't allowed."""
+    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
+    return found.withColumn("status", F.when(ext.isin(*ALLOWED), "wanted").otherwise("unsupported"))
+
+
 def expanded(found: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
     """The members of all files (path, content): wanted ones with content, others and broken archives with an error."""
 
