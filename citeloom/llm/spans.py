@@ -4,7 +4,8 @@ A sentence here is a clause: it ends after one of `. ! ? , ; :` or the like of a
 ideographic or fullwidth mark, or at a line feed; the white space after it belongs to it. One of more than MOST words is
 cut after each MOST of them, so that a passage without marks, or joined to other text at its ends, has whole sentences too.
 At every sentence a run begins: RUN sentences, and more while they have fewer than RUN_WORDS words in all (short ones in a
-row repeat by chance). Where words aren't set apart, CHARS characters count as one. Runs are hashed to 128 bits over their
+row repeat by chance). Where words aren't set apart (more than LONG characters each), CHARS
+characters count as one. Runs are hashed to 128 bits over their
 sentences without outer white space, and joined globally; of each repeated run the first by (doc_id, hash of the text,
 place) stays, and every sentence that any other one covers goes. So what of a repeat lies in a sentence that is other text
 in part stays, up to MOST words at each end.
@@ -27,9 +28,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RUN, RUN_WORDS, MOST, CHARS = 3, 24, 12, 12
+RUN, RUN_WORDS, MOST, LONG, CHARS = 3, 24, 12, 24, 3
 BREAK = re.compile(r"(?<=[.!?,;:\u037e\u0589\u060c\u061b\u061f\u06d4\u0964\u0965\u104b\u1362-\u1366\u17d4])\s+|(?<=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64])\s*|\n\s*")
 PART = re.compile(rf"(?:\S+\s*){{1,{MOST}}}")
+DENSE = re.compile(rf"\S{{1,{MOST * CHARS}}}\s*")
+
+
+def words_in(part: str) -> int:
+    """The words of a part of a text; one for CHARS characters if words aren't set apart (more than LONG characters each)."""
+    n = len(part.split())
+    return n if len(part) <= n * LONG else len(part) // CHARS
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -37,14 +45,15 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
 
     def add(a: int, b: int) -> None:
-        if b - a > 2 * MOST and len(text[a:b].split(None, MOST)) > MOST:
+        if b - a > 2 * MOST and words_in(text[a:b]) > MOST:
+            cut = PART if len(text[a:b].split()) * LONG >= b - a else DENSE
             if text[a].isspace():  # white space at the text's beginning
                 a0, a = a, a + len(text[a:b]) - len(text[a:b].lstrip())
-                parts = [(m.start(), m.end()) for m in PART.finditer(text, a, b)]
+                parts = [(m.start(), m.end()) for m in cut.finditer(text, a, b)]
                 parts[0] = (a0, parts[0][1])
                 out.extend(parts)
             else:
-                out.extend((m.start(), m.end()) for m in PART.finditer(text, a, b))
+                out.extend((m.start(), m.end()) for m in cut.finditer(text, a, b))
         else:
             out.append((a, b))
 
@@ -64,7 +73,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs(text: str, run: int = RUN, run_words: int = RUN_WORDS) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, hash) of each run of a text."""
     parts = [text[a:b].strip() for a, b in sentences(text)]
-    sizes = [max(len(p.split()), len(p) // CHARS) for p in parts]
+    sizes = [words_in(p) for p in parts]
     names = [xxhash.xxh3_128_digest(p) for p in parts]
     out, end, words = [], 0, 0
     for at in range(len(parts)):
