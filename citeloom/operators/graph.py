@@ -22,16 +22,17 @@ def citation_graph(cites: DataFrame) -> tuple[DataFrame, DataFrame]:
     a cited work once a pair (A10).
     """
     doc = uri("br", F.col("doc_id"))
+    # names of columns don't differ by case alone: "section" would replace SECTION
     rows = cites.withColumns({
         "main": doc, "be": F.when(F.col("target").isNotNull(), uri("be", F.col("doc_id"), F.col("target"))), "cited": F.when(F.col("target").isNotNull(), uri("br", F.col("doc_id"), F.col("target"))),
-        "section": F.when(F.col("SECTION").isNotNull(), uri("de/section", F.col("doc_id"), F.col("SECTION"))), "sentence": uri("de/sentence", F.col("doc_id"), F.col("CITATION")),
+        "part": F.when(F.col("SECTION").isNotNull(), uri("de/section", F.col("doc_id"), F.col("SECTION"))), "sent": uri("de/sentence", F.col("doc_id"), F.col("CITATION")),
         "rp": uri("rp", F.col("doc_id"), F.col("cit_id")), "ci": uri("ci", F.col("doc_id"), F.col("cit_id")),
     })
 
     none = F.lit(None).cast("string")
-    kinds = (("br", "main", none), ("br", "cited", none), ("be", "be", F.col("target")), ("section", "section", F.col("SECTION")), ("sentence", "sentence", F.col("CITATION")), ("rp", "rp", F.col("REFERENCE")), ("ci", "ci", F.col("cit_id")))
+    kinds = (("br", "main", none), ("br", "cited", none), ("be", "be", F.col("target")), ("section", "part", F.col("SECTION")), ("sentence", "sent", F.col("CITATION")), ("rp", "rp", F.col("REFERENCE")), ("ci", "ci", F.col("cit_id")))
     entities = F.array(*[F.struct(F.col(name).alias("uri"), F.lit(kind).alias("kind"), content.alias("content")) for kind, name, content in kinds])
-    links = (("main", "cites", "cited"), ("be", "references", "cited"), ("section", "contains", "sentence"), ("sentence", "isContextOf", "rp"), ("rp", "denotes", "be"), ("ci", "hasCitingEntity", "main"), ("ci", "hasCitedEntity", "cited"))
+    links = (("main", "cites", "cited"), ("be", "references", "cited"), ("part", "contains", "sent"), ("sent", "isContextOf", "rp"), ("rp", "denotes", "be"), ("ci", "hasCitingEntity", "main"), ("ci", "hasCitedEntity", "cited"))
     edges = F.array(*[F.struct(F.col(a).alias("src"), F.lit(p).alias("predicate"), F.col(b).alias("dst")) for a, p, b in links])
     entities = rows.select("doc_id", F.explode(entities).alias("x")).select("doc_id", "x.*").filter("uri IS NOT NULL").distinct()
     edges = rows.select("doc_id", F.explode(edges).alias("x")).select("doc_id", "x.*").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()

@@ -245,45 +245,29 @@ def intent_labels(spark, sf_dir):
 
 _METRICS = """SELECT file, sum((kind IN ('match', 'partial'))::INT)::BIGINT AS matches, count(pred_id) AS total_pred, count(gt_id) AS total_gt, sum((kind = 'unmatched_pred')::INT)::BIGINT AS mismatches, sum((kind = 'unmatched_gt')::INT)::BIGINT AS unmatched_gt FROM pairs GROUP BY ROLLUP (file)"""
 _NORM = rf"trim(regexp_replace(translate(lower(coalesce(%s, '')), '{fixed.EVAL_DROPPED}', ''), '\s+', ' ', 'g'))"
-_EVAL = rf"""{_SENTS}, g AS (SELECT lang AS file, doc_id * 100000 + sent_no AS id, {_NORM % 'sentence'} AS "CITATION" FROM sents WHERE doc_id % 10 = 0),
-p AS (SELECT lang AS file, doc_id * 100000 + sent_no AS id, {_NORM % "CASE WHEN sent_no % 4 = 0 THEN sentence || ' x' ELSE chr(34) || sentence || ' ,' END"} AS "CITATION" FROM sents WHERE doc_id % 10 = 0),
+_EVAL = rf"""{_SENTS}, g AS (SELECT lang AS file, doc_id * 100000 + sent_no AS id, {_NORM % 'sentence'} AS "CITATION" FROM sents),
+p AS (SELECT lang AS file, doc_id * 100000 + sent_no AS id, {_NORM % "CASE WHEN sent_no % 4 = 0 THEN sentence || ' x' ELSE chr(34) || sentence || ' ,' END"} AS "CITATION" FROM sents),
 a AS (SELECT *, row_number() OVER (PARTITION BY file, "CITATION" ORDER BY id) AS k FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY file, "CITATION" ORDER BY id) AS k FROM g),
 pairs AS (SELECT coalesce(a.file, b.file) AS file, a.id AS pred_id, b.id AS gt_id, CASE WHEN a.id IS NULL THEN 'unmatched_gt' WHEN b.id IS NULL THEN 'unmatched_pred' ELSE 'match' END AS kind
   FROM a FULL JOIN b ON a.file = b.file AND a."CITATION" = b."CITATION" AND a.k = b.k)"""
 
 
-def _eval_sides(spark, sf_dir, part: str = "doc_id % 10 = 0") -> tuple[DataFrame, DataFrame]:
-    sents = citations.sentences(documents(spark, sf_dir)).filter(part).select(F.col("lang").alias("file"), (F.col("doc_id") * 100000 + F.col("sent_no")).alias("id"), "sent_no", F.col("sentence").alias("CITATION"))
+def _eval_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    sents = citations.sentences(documents(spark, sf_dir)).select(F.col("lang").alias("file"), (F.col("doc_id") * 100000 + F.col("sent_no")).alias("id"), "sent_no", F.col("sentence").alias("CITATION"))
     sents = sents.withColumn("seq", F.col("id"))
     changed = F.when(F.col("sent_no") % 4 == 0, F.concat("CITATION", F.lit(" x"))).otherwise(F.concat(F.lit('"'), "CITATION", F.lit(' ,')))
     return evaluation.normalised(sents.withColumn("CITATION", changed)), evaluation.normalised(sents)
 
 
 @query(f"WITH {_EVAL} SELECT file, pred_id::VARCHAR AS pred_id, gt_id::VARCHAR AS gt_id, kind FROM pairs")
-def eval_exact_match(spark, sf_dir):
+def eval_exact_match_whole(spark, sf_dir):
     return evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"]).withColumns({c: F.col(c).cast("string") for c in ("pred_id", "gt_id")})
 
 
 @query(f"""WITH {_EVAL}, m AS ({_METRICS}), q AS (SELECT *, CASE WHEN total_pred > 0 THEN matches / total_pred::DOUBLE ELSE 0 END AS p, CASE WHEN total_gt > 0 THEN matches / total_gt::DOUBLE ELSE 0 END AS r FROM m)
 SELECT file, matches, total_pred, total_gt, mismatches, unmatched_gt, round(p, 4) AS "precision", round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM q""")
-def eval_micro_total(spark, sf_dir):
-    return evaluation.metrics(evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"]))
-
-
-_WHOLE = _EVAL.replace(" WHERE doc_id % 10 = 0", "")
-
-
-@query(f"WITH {_WHOLE} SELECT file, pred_id::VARCHAR AS pred_id, gt_id::VARCHAR AS gt_id, kind FROM pairs")
-def eval_exact_match_whole(spark, sf_dir):
-    """eval_exact_match over all documents."""
-    return evaluation.exact_pairs(*_eval_sides(spark, sf_dir, "true"), ["CITATION"]).withColumns({c: F.col(c).cast("string") for c in ("pred_id", "gt_id")})
-
-
-@query(f"""WITH {_WHOLE}, m AS ({_METRICS}), q AS (SELECT *, CASE WHEN total_pred > 0 THEN matches / total_pred::DOUBLE ELSE 0 END AS p, CASE WHEN total_gt > 0 THEN matches / total_gt::DOUBLE ELSE 0 END AS r FROM m)
-SELECT file, matches, total_pred, total_gt, mismatches, unmatched_gt, round(p, 4) AS "precision", round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM q""")
 def eval_micro_total_whole(spark, sf_dir):
-    """eval_micro_total over all documents."""
-    return evaluation.metrics(evaluation.exact_pairs(*_eval_sides(spark, sf_dir, "true"), ["CITATION"]))
+    return evaluation.metrics(evaluation.exact_pairs(*_eval_sides(spark, sf_dir), ["CITATION"]))
 
 
 @query()
@@ -324,7 +308,15 @@ def keyword_alignment(spark, sf_dir):
     return alignment.by_keyword(s)
 
 
-@query()
+_TRIGRAMS = lambda c: f"list_distinct(list_transform(range(1, length({c}) + 1), lambda i: substr(' ' || lower({c}) || ' ', i, 3)))"
+
+
+@query(f"""WITH s AS (SELECT doc_id // 10 AS doc_id, doc_id AS section_no, CASE WHEN doc_id % 5 = 0 THEN 'Introductions' ELSE {_TITLED} END AS section FROM documents), k(keyword_no, keyword, title) AS (VALUES {_KEYWORDS}),
+c(title) AS (VALUES {", ".join(f"('{t}')" for t in fixed.TITLES)}),
+a AS (SELECT doc_id, section_no, section, title FROM s JOIN k ON contains(lower(section), keyword) QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY section_no, keyword_no) = 1),
+g AS (SELECT *, {_TRIGRAMS("section")} AS x, {_TRIGRAMS("title")} AS y FROM s, c WHERE section <> '' AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = s.doc_id AND a.title = c.title)),
+b AS (SELECT *, len(list_intersect(x, y)) / sqrt(len(x) * len(y)) AS score FROM g)
+SELECT * FROM a UNION ALL (SELECT doc_id, section_no, section, title FROM b WHERE score > {fixed.ALIGNED} QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY score DESC, section_no, section) = 1)""")
 def section_alignment(spark, sf_dir):
     s = documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).alias("doc_id"), F.col("doc_id").alias("section_no"), F.when(F.col("doc_id") % 5 == 0, "Introductions").otherwise(F.expr(_TITLED)).alias("section"))
     return alignment.aligned(s)
@@ -369,12 +361,22 @@ def _citation_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return graph.citation_graph(rows)
 
 
-@query()
+_URI = lambda kind, *parts: f"'{kind}/' || substr(sha256(concat_ws(':', {', '.join(parts)})), 1, 16)"
+_GRAPH = f"""WITH {_CONTEXTS}, k AS (SELECT doc_id::VARCHAR AS d, doc_id, row_number() OVER w AS cit_no, "SECTION", "CITATION" FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY first_seq, citkey)),
+t AS (SELECT *, 'cit' || cit_no AS cit_id, CASE WHEN cit_no % 4 <> 0 THEN 'b' || (cit_no % 3) END AS target FROM k),
+n AS (SELECT *, {_URI("br", "d")} AS main, CASE WHEN target IS NOT NULL THEN {_URI("be", "d", "target")} END AS be, CASE WHEN target IS NOT NULL THEN {_URI("br", "d", "target")} END AS cited,
+  CASE WHEN "SECTION" IS NOT NULL THEN {_URI("de/section", "d", '"SECTION"')} END AS part, {_URI("de/sentence", "d", '"CITATION"')} AS sent, {_URI("rp", "d", "cit_id")} AS rp, {_URI("ci", "d", "cit_id")} AS ci FROM t)"""
+_LINKS = (("main", "cites", "cited"), ("be", "references", "cited"), ("part", "contains", "sent"), ("sent", "isContextOf", "rp"), ("rp", "denotes", "be"), ("ci", "hasCitingEntity", "main"), ("ci", "hasCitedEntity", "cited"))
+_KINDS = (("br", "main", "NULL"), ("br", "cited", "NULL"), ("be", "be", "target"), ("section", "part", '"SECTION"'), ("sentence", "sent", '"CITATION"'), ("rp", "rp", "'R'"), ("ci", "ci", "cit_id"))
+_TYPED = " ".join(f"WHEN '{t.lower()}' THEN '{t}'" for t in fixed.TITLES)
+
+
+@query(_GRAPH + " UNION ".join(f" SELECT doc_id, {a} AS src, '{p}' AS predicate, {b} AS dst FROM n WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a, p, b in _LINKS))
 def citation_graph(spark, sf_dir):
     return _citation_graph(spark, sf_dir)[1]
 
 
-@query()
+@query(f"""{_GRAPH} SELECT *, CASE WHEN kind = 'section' THEN CASE lower(content) {_TYPED} END END AS type FROM ({" UNION ".join(f"SELECT doc_id, {name} AS uri, '{kind}' AS kind, {content} AS content FROM n WHERE {name} IS NOT NULL" for kind, name, content in _KINDS)})""")
 def citation_entities(spark, sf_dir):
     """The entities that citation_graph's edges join."""
     return _citation_graph(spark, sf_dir)[0]
@@ -393,14 +395,9 @@ def page_range(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.page_range(F.when(k < 2, c.cast("string")), F.when(k.isin(0, 2), (c + 3).cast("string")), F.lit("t")).alias("pages"))
 
 
-@query("SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
-def set_difference(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id").exceptAll(documents(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id")).distinct()
-
-
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabelled_documents(spark, sf_dir):
-    """set_difference of whole tables."""
+    """A set difference of whole tables."""
     return documents(spark, sf_dir).select("doc_id").exceptAll(table(spark, sf_dir, "labels").select("doc_id")).distinct()
 
 

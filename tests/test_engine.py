@@ -139,3 +139,11 @@ def test_citation_entities(spark):
     entities = run["citation_entities"](spark, "/root/testdata/sf0.001").collect()
     assert {x for r in edges for x in r} <= {r.uri for r in entities}
     assert {"br", "be", "section", "sentence", "rp", "ci"} == {r.kind for r in entities}
+
+
+def test_section_types(spark):
+    rows = [(1, "cit1", "METHODS", "a", "r", "b0"), (1, "cit2", "Zebra", "b", "r", None)]
+    from citeloom.operators import graph
+
+    entities, _ = graph.citation_graph(spark.createDataFrame(rows, "doc_id long, cit_id string, SECTION string, CITATION string, REFERENCE string, target string"))
+    assert {(r.content, r.type) for r in entities.collect() if r.kind == "section"} == {("METHODS", "Methods"), ("Zebra", None)}
