@@ -13,7 +13,7 @@ from citeloom.functions import fixed
 from citeloom.functions import text as T
 from citeloom.functions.similarity import cosine, may_reach, token_sort
 from citeloom.operators import alignment, citations, classification, corpus, evaluation, graph, manifest
-from citeloom.sources import jats, listing, sinks
+from citeloom.sources import jats, listing, sinks, tei
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -410,8 +410,6 @@ def document_buckets(spark, sf_dir):
 @query()
 def tei_extraction(spark, sf_dir):
     """Articles built from documents: a section with two pointers and a foot note, through the whole extractor."""
-    from citeloom.sources import tei
-
     safe = F.regexp_replace(F.regexp_replace("text", r"[<&>]", " "), r"[\x00-\x08\x0b-\x1f\x{FFFE}\x{FFFF}]", " ")
     xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head n="1.">Introduction</head><p>'), safe, F.lit('<ref type="bibr" target="#b0">(A, 2001)</ref> and <ref type="bibr" target="#b1">(B, 2002)</ref>.</p></div></body></text></TEI>'))
     units, refs, _ = tei.shredded(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), xml.alias("xml")))
@@ -520,3 +518,41 @@ def eval_correction_delta(spark, sf_dir):
 @query("SELECT CASE WHEN event_id % 4 <> 0 THEN 'success' ELSE 'error' END AS status, count(*) AS n FROM events GROUP BY ALL")
 def run_counters(spark, sf_dir):
     return corpus.run_counts(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 != 0, "success").otherwise("error").alias("status")))
+
+
+_LISTED = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a">T{d}</title></titleStmt><publicationStmt><publisher>P{k}</publisher><date type="published" when="2001-0{m}"/></publicationStmt><sourceDesc><biblStruct><analytic><author><persName><forename>F{d}</forename><surname>S{d}</surname></persName><idno type="ORCID">O{d}</idno></author></analytic><monogr><title level="j">J{k}</title><idno type="ISSN">I{k}</idno><imprint>{s}<biblScope unit="page" from="{d}"/></imprint></monogr><idno type="DOI">10.1/{d}</idno></biblStruct></sourceDesc></fileDesc></teiHeader><text><back><listBibl><biblStruct xml:id="b0"><monogr><title level="s">Series {k}</title><imprint><date type="published" when="1999"/></imprint></monogr></biblStruct></listBibl></back></text></TEI>"""
+
+
+def _works(spark, sf_dir) -> DataFrame:
+    """A main work in a journal, with an issue, a volume, both or none, and a series that it lists, for each document."""
+    k = F.col("doc_id") % 4
+    scope = F.concat(F.when(k < 2, F.lit('<biblScope unit="issue">7</biblScope>')).otherwise(""), F.when(k.isin(0, 2), F.lit('<biblScope unit="volume">8</biblScope>')).otherwise(""))
+    xml = F.lit(_LISTED)
+    for mark, value in (("{d}", F.col("doc_id").cast("string")), ("{k}", k.cast("string")), ("{m}", (k + 1).cast("string")), ("{s}", scope)):
+        xml = F.replace(xml, F.lit(mark), value)
+    return tei.works(documents(spark, sf_dir).select("doc_id", xml.alias("xml")))[0]
+
+
+_TEMPLATE = f"""d AS (SELECT doc_id::VARCHAR AS doc_id, doc_id % 4 AS k FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT *, {_URI("br", "doc_id")} AS main, {_URI("be", "doc_id", "'b0'")} AS be, {_URI("br", "doc_id", "'b0'")} AS listed, CASE WHEN k < 2 THEN {_URI("br/issue", "doc_id", "'0'")} END AS issue, CASE WHEN k IN (0, 2) THEN {_URI("br/volume", "doc_id", "'0'")} END AS volume, {_URI("br/journal", "doc_id", "'0'")} AS journal,
+  {_URI("re", "doc_id", "'0'")} AS re, {_URI("ar", "doc_id", "'0'", "'0'")} AS ar0, {_URI("ra", "doc_id", "'0'", "'0'")} AS ra0, {_URI("ar", "doc_id", "'0'", "'1'")} AS ar1, {_URI("ra", "doc_id", "'0'", "'1'")} AS ra1,
+  {_URI("id", "'orcid'", "'O' || doc_id")} AS orcid, {_URI("id", "'doi'", "'10.1/' || doc_id")} AS doi, {_URI("id", "'issn'", "'I' || k")} AS issn, {_URI("id", "doc_id", "'b0'")} AS xmlid FROM d)"""
+_ENTITIES = (
+    ("main", "article", "'T' || doc_id", "'2001-0' || (k + 1) || '-01'"), ("be", "be", "'b0'", "NULL"), ("listed", "series", "'Series ' || k", "'1999-01-01'"), ("issue", "issue", "'7'", "NULL"), ("volume", "volume", "'8'", "NULL"), ("journal", "journal", "'J' || k", "NULL"),
+    ("re", "re", "doc_id || '-' || doc_id", "NULL"), ("ar0", "ar", "'author'", "NULL"), ("ra0", "ra", "'F' || doc_id || ' S' || doc_id", "NULL"), ("ar1", "ar", "'publisher'", "NULL"), ("ra1", "ra", "'P' || k", "NULL"),
+    ("orcid", "id", "'orcid:O' || doc_id", "NULL"), ("doi", "id", "'doi:10.1/' || doc_id", "NULL"), ("issn", "id", "'issn:I' || k", "NULL"), ("xmlid", "id", "'xmlid:b0'", "NULL"),
+)
+_EDGES = (
+    ("main", "partOf", "coalesce(issue, volume, journal)"), ("issue", "partOf", "coalesce(volume, journal)"), ("volume", "partOf", "journal"), ("main", "part", "be"), ("be", "references", "listed"), ("main", "embodiment", "re"), ("main", "isDocumentContextFor", "ar0"),
+    ("main", "isDocumentContextFor", "ar1"), ("ar0", "isHeldBy", "ra0"), ("ar1", "isHeldBy", "ra1"), ("ra0", "hasIdentifier", "orcid"), ("main", "hasIdentifier", "doi"), ("journal", "hasIdentifier", "issn"), ("be", "hasIdentifier", "xmlid"),
+)
+
+
+@query(f"WITH {_TEMPLATE} " + " UNION ".join(f"SELECT doc_id, {u} AS uri, '{kind}' AS kind, {content} AS content, {date} AS published FROM n WHERE {u} IS NOT NULL" for u, kind, content, date in _ENTITIES))
+def work_entities(spark, sf_dir):
+    return graph.work_graph(_works(spark, sf_dir))[0]
+
+
+@query(f"WITH {_TEMPLATE} " + " UNION ".join(f"SELECT doc_id, {a} AS src, '{p}' AS predicate, {b} AS dst FROM n WHERE {a} IS NOT NULL" for a, p, b in _EDGES))
+def work_edges(spark, sf_dir):
+    return graph.work_graph(_works(spark, sf_dir))[1]

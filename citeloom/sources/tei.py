@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -74,19 +75,60 @@ def shredded(tei: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return units, refs, rows.filter("kind = 'error'").select("doc_id", "error")
 
 
-def bibliography(xml: str) -> list[dict]:
-    """Main work first, then each listed one: id, title, container title, date, volume, issue, pages, DOI, authors."""
+WORKS = (
+    "doc_id string, work_no long, xml_id string, title string, journal string, series string, monograph string, date string, volume string, issue string, page_from string, "
+    "page_to string, page string, doi string, arxiv string, issn array<string>, publisher string, people array<struct<role:string,given:string,family:string,orcid:string>>, error string"
+)
+
+
+def bibliography(xml: str) -> list[tuple]:
+    """The main work (work_no 0, from fileDesc), then each entry of a list, as rows of WORKS without doc_id and error
+    (P14-P19, G1, G3). Of elements that repeat the first counts, with the text before its first child; people and ISSNs are all kept."""
     root = ET.fromstring(xml)
+    main = next(root.iter(f"{TEI}fileDesc"), None)
+    if main is None:
+        raise ValueError("no fileDesc")
+
+    def work(no: int, node: ET.Element) -> tuple:
+        all_of = lambda path: node.findall(path.replace("t:", TEI))
+        def text(path: str) -> str | None:
+            found = all_of(path)
+            return (found[0].text or "").strip() or None if found else None
+
+        own = ".//t:titleStmt//t:title" if no == 0 else ".//t:title"
+        dates = all_of(".//t:publicationStmt/t:date[@type='published']" if no == 0 else ".//t:monogr//t:date[@type='published']")
+        page = next(iter(all_of(".//t:biblScope[@unit='page']")), None)
+        name = lambda x, tag: next(((e.text or "").strip() or None for e in x.iter(TEI + tag)), None)
+        orcid = lambda x: next(((e.text or "").strip() or None for e in x.iter(f"{TEI}idno") if e.get("type") == "ORCID"), None)
+        people = [("author", name(x, "forename"), name(x, "surname"), orcid(x)) for x in all_of(".//t:author")]
+        people += [("editor", name(x, "forename"), name(x, "surname"), None) for x in all_of(".//t:monogr//t:editor")]
+        issn = [e.text.strip() for kind in ("ISSN", "eISSN") for e in all_of(f".//t:monogr/t:idno[@type='{kind}']") if e.text]
+        return (
+            no, node.get(XML_ID) if no else None, text(f"{own}[@level='a']"), *[text(f".//t:monogr/t:title[@level='{x}']") for x in "jsm"], next((d.get("when") for d in dates if d.get("when")), None),
+            text(".//t:biblScope[@unit='volume']"), text(".//t:biblScope[@unit='issue']"), *((page.get("from"), page.get("to"), (page.text or "").strip() or None) if page is not None else (None,) * 3),
+            text(".//t:idno[@type='DOI']"), text(".//t:idno[@type='arXiv']"), issn, text(".//t:publicationStmt/t:publisher" if no == 0 else ".//t:monogr//t:publisher"), people,
+        )
+
+    listed = dict.fromkeys(b for lst in root.iter(f"{TEI}listBibl") for b in lst.iter(f"{TEI}biblStruct"))
+    return [work(no, node) for no, node in enumerate([main, *listed])]
+
+
+def works(tei: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The works that articles (doc_id, xml) are and list, and errors; an article that can't be read gives one error."""
 
-    def work(node: ET.Element) -> dict:
-        scope = {s.get("unit"): s for s in node.iter(f"{TEI}biblScope")}
-        of = lambda unit: "".join(scope[unit].itertext()).strip() or None if unit in scope else None
-        titles = {t.get("level"): "".join(t.itertext()).strip() for t in node.iter(f"{TEI}title")}
-        date = next((d.get("when") for d in node.iter(f"{TEI}date") if d.get("when")), None)
-        ids = {i.get("type"): (i.text or "").strip() for i in node.iter(f"{TEI}idno")}
-        people = [" ".join("".join(x.itertext()).strip() for x in p) for a in node.iter(f"{TEI}author") for p in a.iter(f"{TEI}persName")]
-        page = scope.get("page")
-        return {"id": node.get(XML_ID), "title": titles.get("a"), "container": titles.get("j") or titles.get("s") or titles.get("m"), "date": date, "volume": of("volume"), "issue": of("issue"), "page_from": page.get("from") if page is not None else None, "page_to": page.get("to") if page is not None else None, "doi": ids.get("DOI"), "arxiv": ids.get("arXiv"), "issn": [v for k, v in ids.items() if k in ("ISSN", "eISSN")], "authors": people}
-
-    main = [work(b) for d in root.iter(f"{TEI}sourceDesc") for b in d.iter(f"{TEI}biblStruct")][:1]
-    return main + [work(b) for lst in root.iter(f"{TEI}listBibl") for b in lst.iter(f"{TEI}biblStruct")]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in re.split(r", (?=\w+ )", WORKS)]
+        for pdf in parts:
+            out = []
+            for doc_id, xml in zip(pdf["doc_id"], pdf["xml"]):
+                try:
+                    out += [(doc_id, *row, None) for row in bibliography(xml)]
+                except (ET.ParseError, TypeError, ValueError) as e:
+                    out.append((doc_id, *[None] * (len(names) - 2), str(e)))
+            got = pd.DataFrame(out, columns=names)
+            got["people"] = [[dict(zip(("role", "given", "family", "orcid"), x)) for x in people] if people is not None else None for people in got["people"]]
+            got["work_no"] = got["work_no"].astype("Int64")
+            yield got
+
+    rows = tei.select(F.col("doc_id").cast("string").alias("doc_id"), "xml").mapInPandas(run, WORKS)
+    return rows.filter("error IS NULL").drop("error"), rows.filter("error IS NOT NULL").select("doc_id", "error")

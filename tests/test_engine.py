@@ -147,3 +147,40 @@ def test_section_types(spark):
 
     entities, _ = graph.citation_graph(spark.createDataFrame(rows, "doc_id long, cit_id string, SECTION string, CITATION string, REFERENCE string, target string"))
     assert {(r.content, r.type) for r in entities.collect() if r.kind == "section"} == {("METHODS", "Methods"), ("Zebra", None)}
+
+
+WORKS = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title level="a">Main</title></titleStmt><publicationStmt><date type="published" when="2020-05-04"/></publicationStmt></fileDesc></teiHeader>
+<text><back><listBibl><biblStruct xml:id="b0"><analytic><title level="a">One</title><author><forename>A</forename><surname>B</surname></author></analytic>
+<monogr><title level="m">Proceedings</title><editor><forename>E</forename><surname>F</surname></editor><imprint><publisher>House</publisher><date type="published" when="2001"/><biblScope unit="page" from="3" to="9"/></imprint></monogr></biblStruct>
+<biblStruct xml:id="b1"><monogr><title level="m">A book</title><imprint><biblScope unit="page">12</biblScope></imprint></monogr></biblStruct><biblStruct><monogr><title level="s">Series</title></monogr></biblStruct></listBibl></back></text></TEI>"""
+
+
+def test_work_graph(spark):
+    from citeloom.operators import graph
+
+    works, errors = tei.works(spark.createDataFrame([("d", WORKS), ("bad", "<x"), ("bare", "<x/>"), ("none", None)], "doc_id string, xml string"))
+    assert {r.doc_id for r in errors.collect()} == {"bad", "bare", "none"}
+    rows = {r.work_no: r for r in works.collect()}
+    assert [rows[i].xml_id for i in range(4)] == [None, "b0", "b1", None]
+    assert [(p.role, p.given, p.family) for p in rows[1].people] == [("author", "A", "B"), ("editor", "E", "F")]
+    entities, edges = graph.work_graph(works)
+    found = {r.uri: r for r in entities.collect()}
+    edges = {(r.src, r.predicate, r.dst) for r in edges.collect()}
+    assert {x for a, _, b in edges for x in (a, b)} <= set(found)
+    # both roles are author, as an editor is put down as an author is
+    assert collections.Counter((r.kind, r.content) for r in found.values() if r.kind in ("ar", "re", "ra")) == {("ar", "author"): 2, ("ar", "publisher"): 1, ("re", "3-9"): 1, ("re", "12"): 1, ("ra", "A B"): 1, ("ra", "E F"): 1, ("ra", "House"): 1}
+    part_of = {(found[a].content, found[b].content) for a, p, b in edges if p == "partOf"}
+    assert part_of == {("One", "Proceedings")}  # a book and a series without a title of their own are the works themselves
+    assert {(r.kind, r.content, r.published) for r in found.values() if r.kind in ("br", "series")} == {("br", "Main", "2020-05-04"), ("br", "One", "2001-01-01"), ("br", "Proceedings", None), ("br", "A book", None), ("series", "Series", None)}
+    assert sum(p == "part" for _, p, _ in edges) == 3
+    # a pointer's target is the entry of that name
+    cites = spark.createDataFrame([("d", "cit1", "S", "t", "r", "b1")], "doc_id string, cit_id string, SECTION string, CITATION string, REFERENCE string, target string")
+    cited = [r.dst for r in graph.citation_graph(cites)[1].collect() if r.predicate == "cites"]
+    assert [found[u].content for u in cited] == ["A book"]
+
+
+def test_work_graph_of_nothing(spark):
+    from citeloom.operators import graph
+
+    entities, edges = graph.work_graph(tei.works(spark.createDataFrame([], "doc_id string, xml string"))[0])
+    assert entities.count() == edges.count() == 0
