@@ -10,8 +10,10 @@ sentences without outer white space, and joined globally; of each repeated run t
 place) stays, and every sentence that any other one covers goes. So what of a repeat lies in a sentence that is other text
 in part stays, up to MOST words at each end.
 
-Sums and firsts of runs are formed before the shuffle, and written; the join back is one against many, so a run that a
-third of all documents share is split by AQE's skew join.
+First the 64-bit hashes of runs are counted, so that what is shuffled of a run that doesn't repeat is that hash alone: of the
+others all but a few are left out by a bitmap of the repeated hashes, and the 128 bits decide over what stays. Sums and firsts
+of runs are formed before the shuffle, and written; the join back is one against many, so a run that a third of all documents
+share is split by AQE's skew join.
 
 Defined results: a null text stays null, an empty one empty; a text with no run is kept whole; rows with equal doc_id and
 text count as one document, all copies get the same result; null doc_ids come first; an empty table gives no rows; other
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_dup
 
 RUN, RUN_WORDS, MOST, LONG, CHARS = 3, 24, 12, 24, 3
 BREAK = re.compile(r"(?<=[.!?,;:\u037e\u0589\u060c\u061b\u061f\u06d4\u0964\u0965\u104b\u1362-\u1366\u17d4])\s+|(?<=[\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64])\s*|\n\s*")
@@ -102,12 +104,15 @@ def repeated(docs: DataFrame, run: int = RUN, run_words: int = RUN_WORDS) -> Dat
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("tie"), "text").filter("text IS NOT NULL")
     found = common.written(common.mapped(keyed, "h binary, d long, tie long, at int, n int", rows), "spans")
-    firsts = found.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("d", "tie", "at")).alias("first")).filter("times > 1")
+    key = F.xxhash64("h").alias("key")
+    twice = common.written(found.groupBy(key).agg(F.count("*").alias("times")).filter("times > 1").select("key"), "spans-twice")
+    likely = near_dup.maybe_in(found.select("*", key), twice).drop("key")
+    firsts = likely.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("d", "tie", "at")).alias("first")).filter("times > 1")
     firsts = common.written(firsts.select(F.col("h").alias("fh"), "first"), "spans-first")
-    others = found.join(firsts, F.col("h") == F.col("fh")).filter(~F.struct("d", "tie", "at").eqNullSafe(F.col("first")))
+    others = likely.join(firsts, F.col("h") == F.col("fh")).filter(~F.struct("d", "tie", "at").eqNullSafe(F.col("first")))
     # runs of equal rows (same doc_id and text) meet here; a set of them is wanted
     out = common.written(others.groupBy("d", "tie").agg(F.collect_set(F.struct("at", "n")).alias("covered")), "spans-gone")
-    common.dropped(found, firsts)
+    common.dropped(found, twice, firsts)
     return out
 
 

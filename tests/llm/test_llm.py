@@ -277,3 +277,23 @@ def test_spans_short_runs(spark):
     for i, part in ((1, two), (3, one), (5, far)):
         assert got[i - 1].text == rows[i - 1][1] and part in rows[i][1]
         assert got[i]["__removed"] == (5 if part == one else 6) and part[:20] not in got[i].text
+
+
+def test_spans_shuffle_hashes_only(spark):
+    """Of runs that don't repeat little more than a 64-bit hash is shuffled; those that do repeat are found all the same."""
+
+    def text(d):
+        return " ".join(f"w{d * 1000 + i}{'.' if i % 8 == 7 else ''}" for i in range(400))
+
+    def shuffled():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        each = sc.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    rows = [(d, text(d)) for d in range(1, 400)] + [(400, text(7) + " " + text(400)), (401, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    n, before = sum(len(spans.runs(t)) for _, t in rows), shuffled()
+    gone = {r.d: {(c["at"], c["n"]) for c in r.covered} for r in spans.repeated(docs).collect()}
+    assert shuffled() - before < 28 * n
+    assert set(gone) == {400, 401} and gone[401] == {(at, k) for at, k, _ in spans.runs(text(7))} == gone[400]
